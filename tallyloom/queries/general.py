@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import blank_to_zero, json_core, keep_last_duplicate_keys, sql_core
+from tallyloom.operators.hierarchy import hierarchy, paths
 from tallyloom.operators.hotkeys import key_totals, latest_versions, list_totals
 from tallyloom.operators.rolling import trailing_totals
 from tallyloom.operators.shredding import Edge, SchemaGraph, Shredder, latest_rows
@@ -40,6 +41,22 @@ def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = hierarchy(table(spark, sf_dir, "child_map"), "unique_id", "children")
+    placed = made["names"].select(F.col("x").alias("unique_id"), "root_id", F.col("depth").cast("int"))
+    looping = made["status"].select(F.col("x").alias("unique_id"), F.col("status").alias("root_id"), F.lit(-1).cast("int").alias("depth"))
+    return placed.unionByName(looping).where(F.col("unique_id").startswith("model."))
+
+
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, root, depth, number of descendants and descendant interval of every model clear of loops."""
+    made = hierarchy(table(spark, sf_dir, "child_map"), "unique_id", "children")
+    return (
+        paths(made["names"], made["chains"]).where(F.col("x").startswith("model."))
+        .select(F.col("x").alias("unique_id"), "root_id", "depth", F.array_join("path", " > ").alias("path"), "n_descendants", F.col("first").alias("first_no"), F.col("last").alias("last_no"))
+    )
+
+
 def reference_records(refs: DataFrame) -> DataFrame:
     """Latest delivery of each reference record, with its table and count."""
     rows = refs.select(
@@ -165,6 +182,8 @@ def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_summary": p1_summary,
+    "p2_found": p2_found,
+    "p2_paths": p2_paths,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_models": p4_models,
