@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyloom.llm.leakage import leaked_items
+from tallyloom.llm.packing import fill_report, pack
 from tallyloom.llm.truncation import cut_texts, truncation_shares
 
 
@@ -11,6 +14,33 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary() -> tuple[str, str]:
+    """Path and split pattern of the byte-level vocabulary the queries count tokens with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of a text above 2,048 tokens, with its container."""
+    return pack(_documents(spark, sf_dir), "doc_id", "text", "source", *_vocabulary())
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, items, tokens and share of unused space of p6_containers."""
+    return fill_report(p6_containers(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/eval_items.parquet")
+    return leaked_items(_documents(spark, sf_dir), "doc_id", "text", items, "item_id", "text")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of documents each leaked item is found in."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_texts(_documents(spark, sf_dir), "doc_id", "text", "source").distinct()
 
@@ -20,4 +50,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_shares(_documents(spark, sf_dir), "doc_id", "text", "source")
 
 
-QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {
+    "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_items": p7_items,
+    "p8_found": p8_found, "p8_shares": p8_shares,
+}
