@@ -78,7 +78,7 @@ class BestFit:
     """Containers of one shard, in order of residual space.
 
     ``apart`` gives, for a source's bit, the bits of sources it must not share a
-    container with; copies of one text never share one.
+    container with; items of one cluster bit never share one.
     """
 
     def __init__(self, capacity: int, apart: dict[int, int] | None = None) -> None:
@@ -136,32 +136,43 @@ class BestFit:
 
 
 def pack_shard(items: pd.DataFrame, capacity: int, apart: dict[str, set[str]] | None = None) -> list[int]:
-    """Container number of each row of ``items`` (size, source, cluster), by best fit, largest first.
+    """Container number of each row of ``items`` (size, source, cluster), by best fit.
 
-    Only clusters with several items get a bit; texts of 0 tokens conflict with none.
+    Texts with copies go first, while there is room to keep them apart, then the others;
+    both largest first. A cluster with more copies than the shard needs containers is
+    dealt into groups that can be kept apart, so that it costs no space: a container then
+    holds at most one copy of each group. Texts of 0 tokens conflict with none.
     """
-    many = items["cluster"].value_counts()
-    bits = {c: 1 << i for i, c in enumerate(many[many > 1].index)}
+    room = max(1, int(0.9 * items["size"].sum() / capacity))
+    copies = items["cluster"].value_counts()
+    bits: dict[tuple[int, int], int] = {}
+    for c, n in copies[copies > 1].items():
+        for group in range(-(-n // room)):
+            bits[c, group] = 1 << len(bits)
     names = sorted({s if isinstance(s, str) else "" for s in items["source"]})
     source_bit = {s: 1 << i for i, s in enumerate(names)}
     apart_bits = {source_bit[s]: sum(source_bit[o] for o in others if o in source_bit) for s, others in (apart or {}).items() if s in source_bit}
     bins = BestFit(capacity, apart_bits)
     out = [0] * len(items)
-    rows = sorted(
-        ((-int(n), bits.get(c, 0) if n else 0, source_bit[s if isinstance(s, str) else ""], i) for i, (n, s, c) in enumerate(zip(items["size"], items["source"], items["cluster"]))),
-    )
+    seen: dict[int, int] = {}
+    rows = []
+    for i, (n, s, c) in enumerate(zip(items["size"], items["source"], items["cluster"])):
+        seen[c] = seen.get(c, -1) + 1
+        bit = bits[c, seen[c] // room] if copies[c] > 1 and n else 0
+        rows.append((not bit, -int(n), bit, source_bit[s if isinstance(s, str) else ""], i))
+    rows.sort()
     at = 0
     while at < len(rows):
         end = at + 1
-        while end < len(rows) and rows[end][:3] == rows[at][:3]:
+        while end < len(rows) and rows[end][:4] == rows[at][:4]:
             end += 1
-        size, cluster, source = -rows[at][0], rows[at][1], rows[at][2]
+        size, cluster, source = -rows[at][1], rows[at][2], rows[at][3]
         chunk = rows[at:end]
         if cluster:
             placed = bins.add_run(size, source, cluster, len(chunk))
         else:
             placed = [bins.add_run(size, source, 0, 1)[0] for _ in chunk]
-        for (_, _, _, i), b in zip(chunk, placed):
+        for (*_, i), b in zip(chunk, placed):
             out[i] = b
         at = end
     return out
