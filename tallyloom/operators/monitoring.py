@@ -119,10 +119,10 @@ def total_costs(costs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 
 def model_metrics(costs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Failed runs, 90th percentile and mean duration, and queries of each model."""
+    """Failed runs, 90th percentile and mean duration, and queries of each model; decimal ties of the mean round up."""
     return costs.where(since("hour", as_of, days)).groupBy("dbt_model_name").agg(
         F.sum("failed_runs").alias("failed_runs"), F.max("p90_duration_seconds").cast("double").alias("p90_duration"),
-        F.round(F.avg("avg_duration_seconds"), 2).cast("double").alias("avg_duration"), F.sum("query_count").alias("query_count"),
+        F.round(F.sum("avg_duration_seconds").cast("double") / F.count("avg_duration_seconds") + 1e-9, 2).alias("avg_duration"), F.sum("query_count").alias("query_count"),
     )
 
 

@@ -98,7 +98,7 @@ def _with_averages(sums: DataFrame, name: str) -> DataFrame:
     out = [name, F.date_format("day", "yyyy-MM-dd").alias("day")]
     for n in (7, 30):
         total = F.col(f"_sum_{n}").cast("decimal(30,6)")
-        out += [total.alias(f"total_{n}d"), F.round(total.cast("double") / n, 6).alias(f"average_{n}d")]
+        out += [total.alias(f"total_{n}d"), F.round(total.cast("double") / n + 1e-9, 6).alias(f"average_{n}d")]
     return sums.select(*out)
 
 
@@ -195,3 +195,51 @@ QUERIES = {
     "p5_bookmarks": _layout_table("bookmark", ["_level"], ["bookmark_name", "bookmark_title"]),
     "p5_schema": p5_schema,
 }
+
+_P2_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT unique_id AS src, unnest(children) AS dst FROM child_map) WHERE dst IS NOT NULL),
+  names AS (SELECT unique_id AS x FROM child_map UNION SELECT dst FROM e),
+  anc(x, a) AS (SELECT dst, src FROM e UNION SELECT anc.x, e.src FROM anc JOIN e ON e.dst = anc.a),
+  looping AS (SELECT x FROM anc WHERE x = a), below AS (SELECT DISTINCT anc.x FROM anc JOIN looping l ON anc.a = l.x),
+  up AS (SELECT dst AS x, min(src) AS p FROM e GROUP BY 1),
+  climb(x, top, depth) AS (SELECT x, x, 0 FROM names WHERE x NOT IN (SELECT x FROM below) AND x NOT IN (SELECT x FROM looping) UNION ALL SELECT c.x, up.p, c.depth + 1 FROM climb c JOIN up ON up.x = c.top),
+  tops AS (SELECT x AS unique_id, arg_max(top, depth) AS root_id, max(depth) AS depth FROM climb GROUP BY 1)
+  SELECT * FROM (SELECT * FROM tops UNION ALL SELECT x, 'cycle', -1 FROM looping UNION ALL SELECT x, 'below_cycle', -1 FROM below WHERE x NOT IN (SELECT x FROM looping)) WHERE unique_id LIKE 'model.%'"""
+_HOURS_SQL = """h AS (SELECT * FROM (SELECT CASE WHEN starts_with(dbt_model_name, 'lumen_dwh.') THEN substr(dbt_model_name, 11) ELSE dbt_model_name END AS model, CAST(hour AS DATE) AS day,
+   coalesce(try_cast(trim(total_query_cost) AS DECIMAL(18,6)), 0) AS cost, row_number() OVER (PARTITION BY CASE WHEN starts_with(dbt_model_name, 'lumen_dwh.') THEN substr(dbt_model_name, 11) ELSE dbt_model_name END, hour ORDER BY loaded_at DESC) AS i
+   FROM models_costs_incremental WHERE dbt_model_name IS NOT NULL) WHERE i = 1),
+  g AS (SELECT model, day, sum(cost) AS c FROM h GROUP BY 1, 2), b AS (SELECT model, min(day) AS a FROM g GROUP BY 1), z AS (SELECT max(CAST(hour AS DATE)) AS z FROM models_costs_incremental),
+  cal AS (SELECT model, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM b, z),
+  t AS (SELECT cal.model, cal.day, sum(coalesce(c, 0)) OVER (PARTITION BY cal.model ORDER BY cal.day ROWS 6 PRECEDING) AS s7, sum(coalesce(c, 0)) OVER (PARTITION BY cal.model ORDER BY cal.day ROWS 29 PRECEDING) AS s30
+   FROM cal LEFT JOIN g ON g.model = cal.model AND g.day = cal.day)"""
+_RECORDS_SQL = """v AS (SELECT * FROM (SELECT ref_id, day, CASE WHEN table_id IS NOT NULL THEN dataset_id || '.' || table_id END AS name, coalesce(try_cast(trim(reference_count) AS BIGINT), 0) AS n,
+  row_number() OVER (PARTITION BY ref_id ORDER BY loaded_at DESC) AS i FROM table_reference_incremental) WHERE i = 1)"""
+_AVERAGES = "CAST({0}7 AS DOUBLE) AS total_7d, round(CAST({0}7 AS DOUBLE) / 7 + 1e-9, 6) AS average_7d, CAST({0}30 AS DOUBLE) AS total_30d, round(CAST({0}30 AS DOUBLE) / 30 + 1e-9, 6) AS average_30d"
+_SQL_NOISE = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|--[^\n\r]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|\s+""".replace("'", "''")
+
+ORACLES = {
+    "p1_found": f"""WITH d AS (SELECT * FROM (SELECT snapshot_date, unique_id, regexp_replace(compiled_code, '{_SQL_NOISE}', '\\1', 'gs') AS code, config,
+    row_number() OVER (PARTITION BY snapshot_date, unique_id ORDER BY loaded_at DESC) AS i FROM manifest_nodes) WHERE i = 1),
+  j AS (SELECT d.snapshot_date, d.unique_id, string_agg(t.fullkey || t.type || coalesce(t.atom->>'$', ''), chr(10) ORDER BY t.fullkey) AS conf FROM d, json_tree(d.config) t GROUP BY 1, 2),
+  r AS (SELECT d.snapshot_date, d.unique_id, d.code, j.conf FROM d LEFT JOIN j USING (snapshot_date, unique_id)),
+  s AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date FROM d)),
+  n AS (SELECT r.*, s.snapshot_date AS pair FROM r JOIN s ON r.snapshot_date = s.snapshot_date WHERE before IS NOT NULL), o AS (SELECT r.*, s.snapshot_date AS pair FROM r JOIN s ON r.snapshot_date = s.before)
+  SELECT CAST(coalesce(n.pair, o.pair) AS VARCHAR) AS snapshot_date, coalesce(n.unique_id, o.unique_id) AS unique_id, CASE WHEN o.unique_id IS NULL THEN 'added' WHEN n.unique_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+  FROM n FULL JOIN o ON n.pair = o.pair AND n.unique_id = o.unique_id WHERE o.unique_id IS NULL OR n.unique_id IS NULL OR n.code IS DISTINCT FROM o.code OR n.conf IS DISTINCT FROM o.conf""",
+    "p2_found": _P2_SQL,
+    "p3_found": f"""WITH {_RECORDS_SQL}, k AS (SELECT unique_id, unnest(children) AS c FROM child_map)
+  SELECT 'table_reference_incremental' AS table_name, name AS key_id, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS total FROM v WHERE name IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'child_map', a.unique_id, count(c), count(DISTINCT c) FROM (SELECT DISTINCT unique_id FROM child_map) a LEFT JOIN k USING (unique_id) GROUP BY 2""",
+    "p4_found": f"""WITH {_HOURS_SQL} SELECT model AS dbt_model_name, CAST(day AS VARCHAR) AS day, CAST(s7 * 1000000 AS BIGINT) AS cost_7d_micro, CAST(s30 * 1000000 AS BIGINT) AS cost_30d_micro FROM t""",
+    "p4_models": f"WITH {_HOURS_SQL} SELECT model AS dbt_model_name, CAST(day AS VARCHAR) AS day, {_AVERAGES.format('s')} FROM t",
+    "p4_tables": f"""WITH {_RECORDS_SQL}, g AS (SELECT name, day, sum(n) AS c FROM v WHERE name IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2), b AS (SELECT name, min(day) AS a FROM g GROUP BY 1), z AS (SELECT max(day) AS z FROM table_reference_incremental),
+  cal AS (SELECT name, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM b, z),
+  t AS (SELECT cal.name, cal.day, sum(coalesce(c, 0)) OVER (PARTITION BY cal.name ORDER BY cal.day ROWS 6 PRECEDING) AS s7, sum(coalesce(c, 0)) OVER (PARTITION BY cal.name ORDER BY cal.day ROWS 29 PRECEDING) AS s30 FROM cal LEFT JOIN g ON g.name = cal.name AND g.day = cal.day)
+  SELECT name AS table_name, CAST(day AS VARCHAR) AS day, {_AVERAGES.format('s')} FROM t""",
+    "p5_found": """WITH l AS (SELECT * FROM (SELECT report_id, sections, row_number() OVER (PARTITION BY report_id ORDER BY scanned_at DESC) AS i FROM bi_reports) WHERE i = 1),
+  p AS (SELECT report_id, unnest(range(len(sections))) AS page_no, unnest(sections) AS s FROM l), v AS (SELECT report_id, page_no, unnest(range(len(s.visualContainers))) AS visual_no, unnest(s.visualContainers) AS c FROM p),
+  c AS (SELECT report_id, page_no, visual_no, CASE WHEN json_valid(c.config) AND NOT regexp_matches(c.config, ',\\s*[}\\]]') THEN CAST(c.config AS JSON) END AS j FROM v),
+  r AS (SELECT report_id, page_no, visual_no, e.key AS role_name, e.value AS items FROM c, json_each(j->'$.singleVisual.projections') e WHERE json_type(j, '$.singleVisual.projections') = 'OBJECT'),
+  f AS (SELECT report_id, page_no, visual_no, role_name, e.key AS item_no, e.value AS item FROM r, json_each(items) e WHERE json_type(items) = 'ARRAY')
+  SELECT report_id, CAST(page_no AS INT) AS page_no, CAST(visual_no AS INT) AS visual_no, role_name, CAST(item_no AS INT) AS item_no, trim(item->>'$.queryRef', ' ' || chr(9) || chr(10) || chr(13)) AS query_ref
+  FROM f WHERE json_type(item, '$.queryRef') = 'VARCHAR' AND trim(item->>'$.queryRef', ' ' || chr(9) || chr(10) || chr(13)) <> ''""",
+}
