@@ -1,13 +1,10 @@
-"""Queries of the text operators (p6 to p8)."""
+"""Queries of the text operators (p6 to p8). Each imports its operator when it runs, so that the list of queries is cheap to load."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.leakage import leaked_items
-from tallyloom.llm.packing import fill_report, pack
-from tallyloom.llm.truncation import cut_texts, truncation_shares
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,15 +20,21 @@ def _vocabulary() -> tuple[str, str]:
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, or piece of a text above 2,048 tokens, with its container."""
+    from tallyloom.llm.packing import pack
+
     return pack(_documents(spark, sf_dir), "doc_id", "text", "source", *_vocabulary())
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, items, tokens and share of unused space of p6_containers."""
+    from tallyloom.llm.packing import fill_report
+
     return fill_report(p6_containers(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.leakage import leaked_items
+
     items = spark.read.parquet(f"{sf_dir}/eval_items.parquet")
     return leaked_items(_documents(spark, sf_dir), "doc_id", "text", items, "item_id", "text")
 
@@ -42,11 +45,15 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.truncation import cut_texts
+
     return cut_texts(_documents(spark, sf_dir), "doc_id", "text", "source").distinct()
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of cut posts per source."""
+    from tallyloom.llm.truncation import truncation_shares
+
     return truncation_shares(_documents(spark, sf_dir), "doc_id", "text", "source")
 
 
