@@ -7,7 +7,10 @@ rounds work on them only; leaves are attached by one last join on their parent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.session import cut
@@ -15,19 +18,38 @@ from tallyloom.session import cut
 #: A parent with more than 1/HOT_SHARE of all links is joined on its own; so there are
 #: fewer than HOT_SHARE such parents, however large the data.
 HOT_SHARE = 200
+#: Rows that are joined as they are: too few for one key to be too many.
+SMALL = 100_000
+#: Up to this many links the rounds are planned once, without re-planning at every shuffle:
+#: their frames are small and a driver would be busy with planning alone.
+PLAN_ONCE = 5_000_000
 #: Children of one parent are ordered in this many hash ranges, each on its own.
 SIBLING_RANGES = 64
 
 
+@contextmanager
+def planned_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Adaptive planning off while ``rows`` are few; set back afterwards."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    if rows <= PLAN_ONCE:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right`` (unique in ``key``) although few keys hold most of ``left``.
 
     Keys above a 1/HOT_SHARE share are found by a map-side count; their rows meet a
     broadcast of fewer than HOT_SHARE rows of ``right`` and are never shuffled.
     """
+    if left.count() < SMALL:
+        return left.join(right, key, how)
     counts = left.groupBy(key).count()
     total = counts.agg(F.sum("count").alias("n"), F.max("count").alias("m")).first()
-    if not total.n or total.m * HOT_SHARE <= max(total.n, 100_000):
+    if total.m * HOT_SHARE <= total.n:
         return left.join(right, key, how)
     hot = [r[0] for r in counts.where(F.col("count") * HOT_SHARE > total.n).where(F.col(key).isNotNull()).select(key).collect()]
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
@@ -53,21 +75,24 @@ def climb(up: DataFrame, sums: bool = False) -> tuple[DataFrame, list[DataFrame]
     Rounds end when no name reaches its top any more; names still open lie in or below
     a loop of ``up``, and the last round's ``at`` of those are loop names only.
     """
-    weight = ["size"] if sums else []
+    weight, tasks = ["size"] if sums else [], int(up.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = up.select(
         "x", F.coalesce("up", "x").alias("at"), F.col("up").isNotNull().cast("long").alias("far"), F.col("up").isNotNull().alias("open"), *weight
     )
-    state, rounds, before, k = cut(state), [], None, 0
+    state, rounds, n, images, k = cut(state), [], -1, -1, 0
     while True:
         rounds.append(state)
-        open_now = state.where("open").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("at").alias("images")).first()
-        if open_now.n == 0 or (open_now.n, open_now.images) == before:
+        before, n = n, state.where("open").count()
+        if n == 0:
             return state, rounds
-        before = (open_now.n, open_now.images)
+        if n == before:
+            was, images = images, state.where("open").select("at").distinct().count()
+            if was == images:
+                return state, rounds
         above = state.select(F.col("x").alias("at"), F.col("at").alias("_at"), F.col("far").alias("_far"), F.col("open").alias("_open"))
         after = state.where("open").join(above, "at").select(
             "x", F.col("_at").alias("at"), (F.col("far") + F.col("_far")).alias("far"), F.col("_open").alias("open"), *weight
-        ).unionByName(state.where("NOT open").select("x", "at", "far", "open", *weight))
+        ).unionByName(state.where("NOT open").select("x", "at", "far", "open", *weight)).coalesce(tasks)
         if sums:
             # names exactly 2**k below x add what they have gathered; counted map-side
             exact = state.where(F.col("far") == 2**k).groupBy(F.col("at").alias("x")).agg(F.sum("size").alias("_more"))
@@ -260,12 +285,13 @@ def hierarchy(rows: DataFrame, parent: str, children: str) -> dict[str, DataFram
     """
     edges = cut(links(rows, parent, children))
     lone = rows.where(F.col(parent).isNotNull()).select(F.col(parent).alias("x")).distinct()
-    status = loop_status(edges)
-    clear, inner = forest(edges, status)
-    known = edges.select(F.col("parent").alias("x")).union(edges.select("child"))
-    # keys with no link at all are trees of one name
-    clear = clear.unionByName(lone.join(known, "x", "left_anti").select("x", F.lit(None).cast("string").alias("up"), F.lit(False).alias("is_inner")))
-    names, chains = heavy_paths(clear, inner)
+    with planned_once(edges.sparkSession, edges.count()):
+        status = loop_status(edges)
+        clear, inner = forest(edges, status)
+        known = edges.select(F.col("parent").alias("x")).union(edges.select("child"))
+        # keys with no link at all are trees of one name
+        clear = clear.unionByName(lone.join(known, "x", "left_anti").select("x", F.lit(None).cast("string").alias("up"), F.lit(False).alias("is_inner")))
+        names, chains = heavy_paths(clear, inner)
     return {"status": status, "names": names, "chains": chains}
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -372,7 +371,9 @@ EVENT_FIELDS = "target string, column string, clause string, operator string, se
 def extract_usage(models: DataFrame, model: str, sql: str, targets: str) -> DataFrame:
     """Usage events of every row: (model, target, column, ...); ``targets`` is an array of names per row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         for b in batches:
             rows = []
             for m, text, names in zip(b["m"], b["s"], b["t"]):
@@ -386,7 +387,9 @@ def extract_usage(models: DataFrame, model: str, sql: str, targets: str) -> Data
 def extract_references(models: DataFrame, model: str, sql: str) -> DataFrame:
     """(model, table_name, bare_star, in_from) for each table each text names."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         for b in batches:
             rows = [(m, *r) for m, text in zip(b["m"], b["s"]) for r in table_references(text)]
             yield pd.DataFrame(rows, columns=["model", "table_name", "bare_star", "in_from"])
@@ -397,7 +400,9 @@ def extract_references(models: DataFrame, model: str, sql: str) -> DataFrame:
 def extract_lineage(models: DataFrame, model: str, sql: str) -> DataFrame:
     """(model, output, table_name, column, transform, status): symbolic lineage of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         for b in batches:
             rows = []
             for m, text in zip(b["m"], b["s"]):
@@ -411,7 +416,9 @@ def extract_lineage(models: DataFrame, model: str, sql: str) -> DataFrame:
 def extract_analysis(rows: DataFrame, key: str, sql: str) -> DataFrame:
     """(key, tables, where_columns, join_columns, group_columns, status) of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         for b in batches:
             yield pd.DataFrame([{"key": k, **analyze_query(t)} for k, t in zip(b["k"], b["s"])], columns=["key", "tables", "where_columns", "join_columns", "group_columns", "status"])
 

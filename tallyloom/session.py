@@ -7,6 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Loops that cut many frames make the driver collect garbage after this many.
+CUTS_PER_SWEEP = 10
+_cuts = 0
+
+
 def local_session(cores: int = 8, app: str = "tallyloom", memory: str = "12g") -> SparkSession:
     """Session for one machine. On a cluster the driver program brings its own."""
     spark = (
@@ -44,5 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
+    global _cuts
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _cuts += 1
+    if _cuts % CUTS_PER_SWEEP == 0:
+        # files of frames no longer used are only removed after the driver collects garbage
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -10,7 +10,6 @@ import json
 import subprocess
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +103,9 @@ def read_scan(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def scrubbed(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with the JSON in ``text`` freed of what identifies people; texts that are not JSON become null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         for b in batches:
             out = []
             for t in b[text]:
@@ -120,7 +121,9 @@ def scrubbed(rows: DataFrame, text: str) -> DataFrame:
 def fetch_rows(keys: DataFrame, fetch: Callable[[dict], list[dict]], schema: str) -> DataFrame:
     """Rows that ``fetch`` returns for each key; an error of one key gives none for it (remote layouts, live columns)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         names = [part.split()[0] for part in schema.split(",")]
         for b in batches:
             rows: list[dict] = []
