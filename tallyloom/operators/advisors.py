@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, planned_once
 
 # fixed values: types that cannot be clustered or can be partitioned on
 NOT_CLUSTERABLE = ("STRUCT", "ARRAY", "GEOGRAPHY", "JSON")
@@ -132,14 +132,15 @@ def topological_levels(edges: DataFrame, nodes: DataFrame, most: int = 10_000) -
     waiting = cut(nodes.select("x").distinct().join(inside.groupBy(F.col("dst").alias("x")).agg(F.count(F.lit(1)).alias("todo")), "x", "left").select("x", F.coalesce("todo", F.lit(0)).alias("todo")))
     inside = cut(inside)
     out, level = None, 0
-    while level < most:
-        ready = cut(waiting.where("todo = 0").select("x", F.lit(level).alias("level")))
-        if ready.isEmpty():
-            break
-        out = ready if out is None else out.unionByName(ready)
-        freed = inside.join(ready.select(F.col("x").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("x")).agg(F.count(F.lit(1)).alias("_n"))
-        waiting = cut(waiting.where("todo > 0").join(freed, "x", "left").select("x", (F.col("todo") - F.coalesce("_n", F.lit(0))).alias("todo")))
-        level += 1
+    with planned_once(inside.sparkSession, inside.count()):
+        while level < most:
+            ready = cut(waiting.where("todo = 0").select("x", F.lit(level).alias("level")))
+            if ready.isEmpty():
+                break
+            out = ready if out is None else out.unionByName(ready)
+            freed = inside.join(ready.select(F.col("x").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("x")).agg(F.count(F.lit(1)).alias("_n"))
+            waiting = cut(waiting.where("todo > 0").join(freed, "x", "left").select("x", (F.col("todo") - F.coalesce("_n", F.lit(0))).alias("todo")))
+            level += 1
     return out if out is not None else nodes.select("x", F.lit(0).alias("level")).limit(0)
 
 

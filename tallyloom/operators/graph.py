@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, planned_once
 
 
 def edge_table(rows: DataFrame, key: str, neighbours: str, forward: bool = True) -> DataFrame:
@@ -37,15 +37,16 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
     The start itself is reported only if it lies on a loop. Unknown starts give no rows.
     """
     edges = cut(edges.select("src", "dst").distinct())
-    out = frontier = cut(starts.select("start").distinct().join(edges.withColumnRenamed("src", "start"), "start").select("start", F.col("dst").alias("node"), F.lit(1).alias("level")))
-    level = 1
-    while not frontier.isEmpty() and (most is None or level < most):
-        level += 1
-        step = frontier.join(edges.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(out, ["start", "node"], "left_anti").withColumn("level", F.lit(level)))
-        out = out.unionByName(frontier)
-        if level % 8 == 0:
-            out = cut(out)
+    with planned_once(edges.sparkSession, edges.count()):
+        out = frontier = cut(starts.select("start").distinct().join(edges.withColumnRenamed("src", "start"), "start").select("start", F.col("dst").alias("node"), F.lit(1).alias("level")))
+        level = 1
+        while not frontier.isEmpty() and (most is None or level < most):
+            level += 1
+            step = frontier.join(edges.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct()
+            frontier = cut(step.join(out, ["start", "node"], "left_anti").withColumn("level", F.lit(level)))
+            out = out.unionByName(frontier)
+            if level % 8 == 0:
+                out = cut(out.coalesce(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return out
 
 

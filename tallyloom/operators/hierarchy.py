@@ -7,38 +7,20 @@ rounds work on them only; leaves are attached by one last join on their parent.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, planned_once
 
 #: A parent with more than 1/HOT_SHARE of all links is joined on its own; so there are
 #: fewer than HOT_SHARE such parents, however large the data.
 HOT_SHARE = 200
 #: Rows that are joined as they are: too few for one key to be too many.
 SMALL = 100_000
-#: Up to this many links the rounds are planned once, without re-planning at every shuffle:
-#: their frames are small and a driver would be busy with planning alone.
-PLAN_ONCE = 5_000_000
 #: Children of one parent are ordered in this many hash ranges, each on its own.
 SIBLING_RANGES = 64
 
 
-@contextmanager
-def planned_once(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Adaptive planning off while ``rows`` are few; set back afterwards."""
-    was = spark.conf.get("spark.sql.adaptive.enabled")
-    if rows <= PLAN_ONCE:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", was)
-
-
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right`` (unique in ``key``) although few keys hold most of ``left``.
 

@@ -390,4 +390,56 @@ def context_bundle(spark: SparkSession, d: str) -> DataFrame:
     return resolve.context_bundle(every, known)
 
 
+@Q("columns_with_docs", f"""WITH {MODELS_SQL}, k AS (SELECT unique_id, unnest(map_entries(columns)) AS c FROM m), s AS (SELECT DISTINCT unique_id, c.key AS col FROM k WHERE c.key <> 'payload'),
+  d AS (SELECT unique_id, c.key AS col, coalesce(c.value.description, '') AS description FROM k WHERE length(c.key) < 9)
+  SELECT unique_id, col AS "column", coalesce(description, '') AS description FROM s LEFT JOIN d USING (unique_id, col)""")
+def columns_with_docs(spark: SparkSession, d: str) -> DataFrame:
+    docs = select.documented_columns(models(spark, d))
+    return select.columns_with_docs(docs.where("column <> 'payload'").select("unique_id", "column").distinct(), docs.where(F.length("column") < 9))
+
+
+@Q("config_projection", f"WITH {MODELS_SQL} SELECT unique_id, json_extract_string(config, '$.meta.tier') AS tier, json_extract_string(config, '$.meta.checks.fresh_hours') AS fresh_hours FROM m")
+def config_projection(spark: SparkSession, d: str) -> DataFrame:
+    return models(spark, d).select("unique_id", select.config_value("meta.tier").alias("tier"), select.config_value("meta.checks.fresh_hours").alias("fresh_hours"))
+
+
+@Q("find_path", f"WITH {MODELS_SQL} SELECT original_file_path FROM m WHERE unique_id = (SELECT min(unique_id) FROM m) LIMIT 1".replace("WHERE unique_id = (SELECT min(unique_id) FROM m) LIMIT 1", f"WHERE {SHORT} = 'no_such_model'"))
+def find_path(spark: SparkSession, d: str) -> DataFrame:
+    return select.find_path(models(spark, d), "no_such_model")
+
+
+_CODES = """SELECT DISTINCT CASE event_id % 5 WHEN 0 THEN '??' WHEN 1 THEN ' M' WHEN 2 THEN 'R ' WHEN 3 THEN 'A ' ELSE ' D' END AS code, CASE WHEN event_id % 5 = 2 THEN concat('models/', event_type, '.sql -> models/new_', event_type, '.sql') ELSE concat('models/', event_type, '.sql') END AS path FROM {events}"""
+
+
+@Q("git_flags", f"""WITH g AS ({_CODES.replace('{events}', 'events')}) SELECT code, path, code IN ('??', 'A ') AS is_new, code <> '??' AS is_tracked, contains(code, 'M') OR code = 'A ' AS is_modified, contains(code, 'D') AS is_deleted, starts_with(code, 'R') AS is_renamed,
+  CASE WHEN starts_with(code, 'R') THEN split_part(path, ' -> ', 1) END AS renamed_from, CASE WHEN starts_with(code, 'R') THEN split_part(path, ' -> ', 2) END AS renamed_to FROM g""")
+def git_flags(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_CODES, events=table(spark, d, "events")).select("code", "path", *[v.alias(k) for k, v in resolve.git_flags("code", "path").items()])
+
+
+@Q("git_warnings", f"""WITH g AS ({_FLAGS.replace('{lineitem}', 'lineitem')}) SELECT kind, count(*) AS n FROM (SELECT 'file_deleted' AS kind FROM g WHERE is_deleted UNION ALL SELECT 'file_not_compiled' FROM g WHERE NOT is_deleted AND is_new AND NOT in_dev
+  UNION ALL SELECT 'modified_not_in_dev' FROM g WHERE NOT is_deleted AND is_modified AND NOT in_dev UNION ALL SELECT 'prod_is_older' FROM g WHERE NOT is_deleted AND is_modified AND in_prod UNION ALL SELECT 'untracked_file' FROM g WHERE NOT is_deleted AND NOT is_tracked
+  UNION ALL SELECT 'renamed_file' FROM g WHERE NOT is_deleted AND is_renamed UNION ALL SELECT 'only_in_dev' FROM g WHERE NOT is_deleted AND in_dev AND NOT in_prod) GROUP BY 1""")
+def git_warnings(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(_FLAGS, lineitem=table(spark, d, "lineitem"))
+    return rows.select(F.explode(resolve.state_warnings()).alias("w")).groupBy(F.col("w.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@Q("column_source_route", f"""WITH g AS ({_FLAGS.replace('{lineitem}', 'lineitem')}), x AS (SELECT *, (is_new OR NOT in_prod) AND enabled AS fresh, l_linenumber * 6 AS age FROM g WHERE NOT contains(file_path, '/deprecated/') AND NOT is_renamed AND NOT is_deleted),
+  s AS (SELECT age, in_prod, CASE WHEN NOT enabled THEN 'disabled' WHEN fresh AND NOT is_tracked AND in_dev THEN 'new_untracked_in_dev' WHEN fresh AND is_tracked AND is_committed AND in_dev THEN 'new_committed_in_dev' WHEN fresh OR is_modified THEN 'changed' ELSE 'stable' END AS state FROM x)
+  SELECT CASE WHEN state <> 'changed' AND in_prod AND age <= 24 THEN 'catalog' ELSE 'live' END AS route, count(*) AS n FROM s GROUP BY 1""")
+def column_source_route(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(_FLAGS, lineitem=table(spark, d, "lineitem")).where("NOT contains(file_path, '/deprecated/') AND NOT is_renamed AND NOT is_deleted")
+    route = resolve.column_source(resolve.lifecycle_state(), F.col("in_prod"), F.col("l_linenumber") * 6)
+    return rows.select(route.alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@Q("compiled_sql", f"WITH {MODELS_SQL} SELECT unique_id, length(CASE WHEN trim(coalesce(compiled_code, '')) <> '' THEN compiled_code ELSE raw_code END) AS n_chars, CASE WHEN trim(coalesce(compiled_code, '')) = '' AND trim(coalesce(raw_code, '')) = '' THEN 'no compiled SQL' END AS error FROM m")
+def compiled_sql(spark: SparkSession, d: str) -> DataFrame:
+    """SQL of each model, from the manifest or else from disk; the raw text stands in for the file on disk."""
+    own = models(spark, d)
+    disk = own.where("original_file_path IS NOT NULL").groupBy("original_file_path").agg(F.max("raw_code").alias("disk_sql"))
+    return resolve.compiled_sql(own, disk).select("unique_id", F.length("sql").alias("n_chars"), "error")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -190,6 +190,17 @@ def branch_alignment(spark: SparkSession, d: str) -> DataFrame:
     return out.select("root", "model", "alignment", F.array_join("missed", ",").alias("missed"))
 
 
+@Q("upstream_alignment")
+def upstream_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """How well each parent is laid out for what the model reading it filters on."""
+    own = models(spark, d)
+    layout = own.select(F.col("unique_id").alias("model"), select.config_value("materialized").alias("materialized"), select.config_list("partition_by", "field").alias("p"), select.config_list("cluster_by").alias("c"))
+    filters = usage_of_parents(spark, d).where("clause = 'where'").groupBy(F.col("downstream_model").alias("root")).agg(F.array_sort(F.collect_set("column")).alias("root_filters"))
+    pairs = own.select(F.col("unique_id").alias("root"), F.explode("depends_on.nodes").alias("model"), (F.size(select.config_list("partition_by", "field")) > 0).alias("root_has_partition"))
+    rows = pairs.join(layout, "model").join(filters, "root", "left").select("*", (F.size("p") > 0).alias("has_partition"), F.concat("p", "c").alias("layout"))
+    return advisors.upstream_alignment(rows)
+
+
 @Q("common_filters")
 def common_filters(spark: SparkSession, d: str) -> DataFrame:
     used = usage_of_parents(spark, d).where("clause = 'where'").groupBy(F.col("target").alias("root"), F.col("downstream_model").alias("model")).agg(F.collect_set("column").alias("filters"))

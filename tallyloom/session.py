@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Loops over frames of up to this many rows are planned once, without re-planning at
+#: every shuffle: their frames are small and a driver would be busy with planning alone.
+PLAN_ONCE = 5_000_000
 #: Loops that cut many frames make the driver collect garbage after this many.
 CUTS_PER_SWEEP = 10
 _cuts = 0
@@ -57,3 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
         # files of frames no longer used are only removed after the driver collects garbage
         df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+@contextmanager
+def planned_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Adaptive planning off while ``rows`` are few; set back afterwards."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    if rows <= PLAN_ONCE:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
