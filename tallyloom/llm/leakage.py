@@ -40,24 +40,27 @@ def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def positional_index(docs: DataFrame, key: str, text: str, terms: set[str] | None = None) -> DataFrame:
-    """(doc, term, places): the index of a corpus; with ``terms``, of those terms only."""
+    """(doc, version, term, places): the index of a corpus; with ``terms``, of those terms only.
+
+    ``version`` is a hash of the text, which keeps apart texts that share a key.
+    """
     known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = known.value
         for b in batches:
             rows = []
-            for k, t in zip(b["doc"], b["text"]):
+            for k, v, t in zip(b["doc"], b["version"], b["text"]):
                 places: dict[str, list[int]] = {}
                 for i, w in enumerate(words(t)):
                     if wanted is None or w in wanted:
                         places.setdefault(w, []).append(i)
-                rows += [(k, w, p) for w, p in places.items()]
-            yield pd.DataFrame(rows, columns=["doc", "term", "places"])
+                rows += [(k, v, w, p) for w, p in places.items()]
+            yield pd.DataFrame(rows, columns=["doc", "version", "term", "places"])
 
     kind = dict(docs.dtypes)[key]
-    chosen = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    return chosen.mapInPandas(post, f"doc {kind}, term string, places array<int>")
+    chosen = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+    return chosen.mapInPandas(post, f"doc {kind}, version long, term string, places array<int>")
 
 
 def rare_pairs(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -76,12 +79,12 @@ def rare_pairs(terms: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def candidates(index: DataFrame, pairs: DataFrame, small: bool) -> DataFrame:
-    """(doc, item): documents in which some run's two rarest terms stand at the right distance."""
+    """(doc, version, item): documents in which some run's two rarest terms stand at the right distance."""
     hint = F.broadcast if small else (lambda df: df)
     seeds = index.join(hint(pairs), "term")
-    others = index.join(hint(pairs.select(F.col("other").alias("term")).distinct()), "term", "left_semi").select("doc", F.col("term").alias("other"), F.col("places").alias("other_places"))
-    met = seeds.join(others, ["doc", "other"])
-    return met.where("arrays_overlap(transform(places, p -> p + ahead), other_places)").select("doc", "item").distinct()
+    others = index.join(hint(pairs.select(F.col("other").alias("term")).distinct()), "term", "left_semi").select("doc", "version", F.col("term").alias("other"), F.col("places").alias("other_places"))
+    met = seeds.join(others, ["doc", "version", "other"])
+    return met.where("arrays_overlap(transform(places, p -> p + ahead), other_places)").select("doc", "version", "item").distinct()
 
 
 def _reach(a: list[str], b: list[str], edits: int) -> list[int]:
@@ -142,11 +145,12 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     pairs = cut(rare_pairs(terms, index))
     met = cut(candidates(index, pairs, small))
     # the documents' words are read back from the index; words of no item stay unknown
-    places = index.join(met.select("doc").distinct(), "doc", "left_semi")
-    lists = places.groupBy("doc").agg(F.collect_list(F.struct("term", "places")).alias("terms"))
+    text_key = ["doc", "version"]
+    places = index.join(met.select(*text_key).distinct(), text_key, "left_semi").dropDuplicates([*text_key, "term"])
+    lists = places.groupBy(*text_key).agg(F.collect_list(F.struct("term", "places")).alias("terms"))
     texts = terms.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda s: s["term"]).alias("item_words"))
     texts = F.broadcast(texts) if small else texts
-    compared = met.join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_words")).alias("items")).join(lists, "doc")
+    compared = met.join(texts, "item").groupBy(*text_key).agg(F.collect_list(F.struct("item", "item_words")).alias("items")).join(lists, text_key)
     kinds = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

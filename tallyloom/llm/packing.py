@@ -187,17 +187,18 @@ def pack(
     Texts above the capacity are split at token ``capacity``, 2 ``capacity``, ...; no
     other text is split. Null keys and texts are no items and left out, empty texts take
     0 tokens; a repeated row is placed again, in another container. ``apart`` names sources
-    that must not share a container. Shards follow a hash of key and piece, so the copies
-    of a hot text are spread evenly and each shard's bitmaps stay small.
+    that must not share a container. Shards follow a hash of row and piece, so the copies
+    of a hot text or key are spread evenly and each shard's bitmaps stay small.
     """
     kind = dict(docs.dtypes)[key]
     sizes = cut(token_sizes(docs, key, text, source, vocabulary, pattern))
-    items = pieces_of(sizes, capacity)
+    # row numbers of written files stay the same when a task runs again
+    items = pieces_of(sizes.withColumn("row", F.monotonically_increasing_id()), capacity)
     shards = max(1, -(-items.count() // shard_items))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", "piece"), F.lit(shards)).cast("int"))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["item", "piece"], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["row", "piece"], kind="stable").reset_index(drop=True)
         made = pack_shard(group, capacity, apart)
         shard = group["shard"].iloc[0]
         return pd.DataFrame({
