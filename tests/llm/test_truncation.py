@@ -56,5 +56,7 @@ def test_awkward_rows(spark, posts):
 
 
 def test_query(spark, small):
-    rows = queries.QUERIES["p8_found"](spark, small).collect()
-    assert len(rows) == len({r["doc_id"] for r in rows}) and rows[0].asDict().keys() == {"doc_id", "source"}
+    # too few texts to know a source by: none may be reported, but the form holds
+    found = queries.QUERIES["p8_found"](spark, small)
+    rows = found.collect()
+    assert found.columns == ["doc_id", "source"] and len(rows) == len({r["doc_id"] for r in rows})
