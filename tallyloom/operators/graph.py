@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut, planned_once
+from tallyloom.session import PLAN_ONCE, cut, planned_once
+
+#: Hops of a breadth-first round over few edges.
+HOPS = 4
 
 
 def edge_table(rows: DataFrame, key: str, neighbours: str, forward: bool = True) -> DataFrame:
@@ -39,13 +42,20 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
     edges = cut(edges.select("src", "dst").distinct())
     with planned_once(edges.sparkSession, edges.count()):
         out = frontier = cut(starts.select("start").distinct().join(edges.withColumnRenamed("src", "start"), "start").select("start", F.col("dst").alias("node"), F.lit(1).alias("level")))
-        level = 1
+        level, hops = 1, HOPS if edges.count() <= PLAN_ONCE and most is None else 1
+        hop = edges.withColumnRenamed("src", "node")
         while not frontier.isEmpty() and (most is None or level < most):
-            level += 1
-            step = frontier.join(edges.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct()
-            frontier = cut(step.join(out, ["start", "node"], "left_anti").withColumn("level", F.lit(level)))
+            step, steps = frontier.select("start", "node"), None
+            for i in range(1, hops + 1):
+                step = step.join(hop, "node").select("start", F.col("dst").alias("node")).distinct()
+                at = step.withColumn("level", F.lit(level + i))
+                steps = at if steps is None else steps.unionByName(at)
+            steps = steps.groupBy("start", "node").agg(F.min("level").alias("level")) if hops > 1 else steps
+            frontier, level = cut(steps.join(out, ["start", "node"], "left_anti")), level + hops
             out = out.unionByName(frontier)
-            if level % 8 == 0:
+            # names met on the way were expanded in the same round, so only the last ones go on
+            frontier = frontier.where(F.col("level") == level)
+            if level % 8 <= hops:
                 out = cut(out.coalesce(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return out
 

@@ -126,6 +126,6 @@ def validate_query(spark, text: str) -> tuple[bool, str, int]:
     """(valid, error, bytes): whether Spark can analyse a query, and the size it estimates for its result."""
     try:
         plan = spark.sql(text)._jdf.queryExecution()
-        return True, "", int(plan.optimizedPlan().stats().sizeInBytes().toString())
+        return True, "", int(str(plan.optimizedPlan().stats().sizeInBytes()))
     except Exception as e:  # noqa: BLE001 - any refusal is the answer
         return False, str(e).split("\n")[0][:200], 0

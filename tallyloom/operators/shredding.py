@@ -183,7 +183,10 @@ class Shredder:
         return out
 
     def table(self, table: str) -> DataFrame:
-        """Flat table: keys, id, parent's id and type, and every attribute as text."""
+        """Flat table: keys, id, parent's id and type, and every attribute as text.
+
+        An attribute named like a key gets the element's name before its own.
+        """
         rows = self.rows(table)
         keys = [c for c in rows.columns if c != "_v"]
         columns = self.graph.columns(table)
@@ -194,6 +197,7 @@ class Shredder:
                 rows = _follow(rows, chain, f"_c{i}")
         values = []
         for name, (chain, step) in columns.items():
+            name = f"{table}_{name}" if name in keys else name
             value = _get(chains[tuple(chain)], step) if step else chains[tuple(chain)]
             values.append(F.expr(f"CASE WHEN schema_of_variant({value}) <> 'VOID' THEN try_variant_get({value}, '$', 'string') END").alias(name))
             values.append(F.expr(f"regexp_extract(schema_of_variant({value}), '^[A-Z]+', 0)").alias(f"{name}_kind"))
