@@ -25,6 +25,8 @@ SAMPLE_TEXTS = 16_000
 FEATURE_BITS = 18
 #: Words are counted in this many hash slots over all texts.
 WORD_SLOTS = 1 << 19
+#: Share of texts in a pile of lengths that may close with a sentence end.
+MOST_ENDED = 0.4
 #: Greatest logit kept; scores are counted in eighths of a logit.
 MOST = 15.0
 #: A group's share of cut texts leans toward that of all sources like this many texts.
@@ -47,27 +49,29 @@ _PAIRS = ("quote", "code", "b", "i", "u", "size", "img", "blockquote", "small",
 _TAG = re.compile(r"[<\[](/?)([a-z]+)\b[^<>\[\]]*[>\]]", re.I)
 
 
-def length_limits(docs: DataFrame, source: str, text: str, least: int = 8, times: float = 6.0) -> DataFrame:
+def length_limits(docs: DataFrame, source: str, text: str, least: int = 5, times: float = 6.0, share: float = 0.01) -> DataFrame:
     """(source, unit, cap): lengths at which distinct texts of a source pile up.
 
     ``cap`` counts chars or UTF-8 bytes of the text without a closing mark. A pile has at
-    least ``least`` distinct texts and ``times`` the mean of the 60 lengths on each side.
-    Counting is by (source, unit, length), combined map-side; the longest pile wins ties.
+    least ``least`` distinct texts and ``times`` the mean of the 60 lengths on each side,
+    and few of its texts (MOST_ENDED) close with a sentence end. Counting is by (source,
+    unit, length), combined map-side; of several piles of a source the largest counts.
     """
     bare = F.regexp_replace(F.col(text), MARKS, "")
     lengths = docs.where(F.col(text).isNotNull()).select(
         F.col(source).alias("source"),
-        F.xxhash64(text).alias("h"),
+        F.xxhash64(text).alias("h"), bare.rlike(r"[.!?]['\")\]]*\s*$").cast("int").alias("e"),
         F.explode(F.array(
             F.struct(F.lit("chars").alias("unit"), F.length(bare).alias("n")),
             F.struct(F.lit("bytes").alias("unit"), F.octet_length(bare).alias("n")),
         )).alias("l"),
-    ).select("source", "l.unit", "l.n", "h")
-    counts = lengths.distinct().groupBy("source", "unit", "n").agg(F.count(F.lit(1)).alias("c"))
+    ).select("source", "l.unit", "l.n", "h", "e")
+    counts = lengths.distinct().groupBy("source", "unit", "n").agg(F.count(F.lit(1)).alias("c"), F.sum("e").alias("e"))
     w = Window.partitionBy("source", "unit").orderBy("n")
     near = F.sum("c").over(w.rangeBetween(-60, -1)), F.sum("c").over(w.rangeBetween(1, 60))
-    piles = counts.withColumn("around", (F.coalesce(near[0], F.lit(0)) + F.coalesce(near[1], F.lit(0))) / 120)
-    piles = piles.where((F.col("n") >= 40) & (F.col("c") >= least) & (F.col("c") >= times * F.greatest("around", F.lit(0.5))))
+    whole = F.sum("c").over(Window.partitionBy("source", "unit"))
+    piles = counts.withColumn("whole", whole).withColumn("around", (F.coalesce(near[0], F.lit(0)) + F.coalesce(near[1], F.lit(0))) / 120)
+    piles = piles.where((F.col("n") >= 40) & (F.col("e") <= MOST_ENDED * F.col("c")) & (F.col("c") >= least) & (F.col("c") >= share * F.col("whole")) & (F.col("c") >= times * F.greatest("around", F.lit(0.5))))
     best = Window.partitionBy("source").orderBy(F.desc("c"), F.desc("n"), "unit")
     return piles.withColumn("r", F.row_number().over(best)).where("r = 1").select("source", "unit", F.col("n").alias("cap"))
 
