@@ -207,3 +207,38 @@ def test_artifacts(spark, tmp_path):
     keys = spark.createDataFrame([("a",), ("b",)], "k string")
     assert got(artifacts.fetch_rows(keys, lambda key: [{"k": key["k"], "v": 1}] if key["k"] == "a" else 1 / 0, "k string, v int")) == [("a", 1)]
     assert got(artifacts.scrubbed(spark.createDataFrame([('{"modifiedBy":"x","a":1}',), ("{",), (None,)], "t string"), "t")) == [("{\"a\": 1}",), (None,), (None,)]
+
+
+def test_reports_and_models(spark):
+    tables = spark.createDataFrame([("r1", "core_a"), ("r1", "core_a"), ("r2", "core_a"), ("r2", "stg_b"), ("r3", None)], "report_id string, model string")
+    costs = spark.createDataFrame([("p.core_a", 2.0), ("core_a", 1.0), (None, 5.0)], "dbt_model_name string, query_cost double")
+    assert got(bi.report_costs(tables.where("model IS NOT NULL"), costs, "p.")) == [("r1", "core_a", 3.0), ("r2", "core_a", 3.0), ("r2", "stg_b", 0.0)]
+    assert got(bi.reports_for_model(tables, "CORE")) == [("core_a", "r1"), ("core_a", "r2")]
+    with pytest.raises(ValueError, match="several models"):
+        bi.reports_for_model(tables, "_")
+    analyses = spark.createDataFrame([("r1", ["p.d.a"], ["X"], ["k"]), ("r2", [], ["x"], [])], "report_id string, tables array<string>, where_columns array<string>, join_columns array<string>")
+    mapped, known = spark.createDataFrame([("p.d.a", "a")], "table_name string, model string"), spark.createDataFrame([("a.x",), ("b.x",)], "id string")
+    assert got(bi.report_lineage(analyses, mapped, known)) == [("r1", "a.x")]
+    reports = spark.createDataFrame([("1", "Sales"), ("2", "Sales EU"), ("3", "Sales US"), ("4", None)], "report_id string, report_name string")
+    assert bi.report_lookup(reports, "sales").first()["report_id"] == "1" and bi.report_lookup(reports, "us").first()["report_id"] == "3" and bi.report_lookup(reports, "none").count() == 0
+    with pytest.raises(ValueError, match="several reports"):
+        bi.report_lookup(reports, "sales ")
+
+
+def test_table_parts_and_monitoring_on_empty_rows(spark):
+    names = spark.createDataFrame([("a__b__c",), ("plain",), (None,)], "n string")
+    late, early = resolve.table_parts("n"), resolve.table_parts("n", at_first=True)
+    assert tuple(names.select(*late, *early).first()) == ("a__b", "c", "a", "b__c")
+    refs = spark.createDataFrame([], "dataset_id string, table_id string, day date, reference_count long")
+    assert monitoring.query_frequency(refs, "2025-06-01").count() == monitoring.unused_tables(refs, "2025-06-01").count() == 0
+    costs = spark.createDataFrame([], "dbt_model_name string, hour timestamp, total_query_cost decimal(18,6), query_count long, total_slot_ms long, total_bytes_processed long, cache_hit long")
+    assert tuple(monitoring.total_costs(costs, "2025-06-01").first()) == (0.0, 0.0, 0) and monitoring.model_query_costs(costs, "2025-06-01").count() == 0
+
+
+def test_alignment(spark):
+    kids = spark.createDataFrame([("r", "a", ["d", "x"], "d", ["x"]), ("r", "b", ["z"], "d", None), ("r", "c", ["z"], None, None), ("r", "e", None, None, None)], "root string, model string, filters array<string>, root_partition string, root_clusters array<string>")
+    assert [r[2] for r in got(advisors.downstream_alignment(kids).select("root", "model", "alignment"))] == ["GOOD", "SUBOPTIMAL", "POOR", "GOOD"]
+    up = spark.createDataFrame([("r", "v", "view", True, ["d"], True, ["d"]), ("r", "h", "table", False, [], True, ["d"]), ("r", "m", "table", True, ["d"], True, ["x"]), ("r", "ok", "table", True, ["x"], True, ["x"])],
+                               "root string, model string, materialized string, has_partition boolean, layout array<string>, root_has_partition boolean, root_filters array<string>")
+    assert {r[1]: r[2] for r in got(advisors.upstream_alignment(up))} == {"v": "N/A", "h": "HIGH", "m": "MEDIUM", "ok": "ALIGNED"}
+    assert got(advisors.common_filters(kids, 2, 2)) == [("r", "z", 2, 1)]
