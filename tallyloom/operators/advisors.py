@@ -160,18 +160,20 @@ def propagate_changes(changed: DataFrame, edges: DataFrame, events: DataFrame, s
     everything = cut(blind.union(bare).distinct())
     touching = cut(uses.select("parent", "model").union(stars.select("parent", "model")).distinct())
     known = frontier = cut(changed.select("model", "column").distinct())
-    for _ in range(most):
-        parents = frontier.withColumnRenamed("model", "parent")
-        star = F.lit("*").alias("column")
-        step = (
-            parents.join(everything, "parent").select("model", star)
-            .union(parents.where("column = '*'").join(touching, "parent").select("model", star))
-            .union(parents.where("column <> '*'").join(uses, ["parent", "column"]).select("model", "column"))
-        ).distinct()
-        frontier = cut(step.join(known, ["model", "column"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        known = cut(known.unionByName(frontier))
+    tasks = int(uses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with planned_once(uses.sparkSession, uses.count()):
+        for _ in range(most):
+            parents = frontier.withColumnRenamed("model", "parent")
+            star = F.lit("*").alias("column")
+            step = (
+                parents.join(everything, "parent").select("model", star)
+                .union(parents.where("column = '*'").join(touching, "parent").select("model", star))
+                .union(parents.where("column <> '*'").join(uses, ["parent", "column"]).select("model", "column"))
+            ).distinct()
+            frontier = cut(step.join(known, ["model", "column"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            known = cut(known.unionByName(frontier).coalesce(tasks))
     return known
 
 
