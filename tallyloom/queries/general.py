@@ -242,4 +242,12 @@ ORACLES = {
   f AS (SELECT report_id, page_no, visual_no, role_name, e.key AS item_no, e.value AS item FROM r, json_each(items) e WHERE json_type(items) = 'ARRAY')
   SELECT report_id, CAST(page_no AS INT) AS page_no, CAST(visual_no AS INT) AS visual_no, role_name, CAST(item_no AS INT) AS item_no, trim(item->>'$.queryRef', ' ' || chr(9) || chr(10) || chr(13)) AS query_ref
   FROM f WHERE json_type(item, '$.queryRef') = 'VARCHAR' AND trim(item->>'$.queryRef', ' ' || chr(9) || chr(10) || chr(13)) <> ''""",
+    "p5_pages": """WITH l AS (SELECT * FROM (SELECT report_id, sections, row_number() OVER (PARTITION BY report_id ORDER BY scanned_at DESC) AS i FROM bi_reports) WHERE i = 1),
+  p AS (SELECT report_id, unnest(range(len(sections))) AS page_no, unnest(sections) AS s FROM l)
+  SELECT report_id, report_id || '/sections:' || page_no AS row_id, report_id AS parent_id, 'report' AS parent_kind, CAST(page_no AS INT) AS page_no, s.name AS page_name, s.displayName AS display_name FROM p""",
+    "p5_visuals": """WITH l AS (SELECT * FROM (SELECT report_id, sections, row_number() OVER (PARTITION BY report_id ORDER BY scanned_at DESC) AS i FROM bi_reports) WHERE i = 1),
+  p AS (SELECT report_id, unnest(range(len(sections))) AS page_no, unnest(sections) AS s FROM l), v AS (SELECT report_id, page_no, unnest(range(len(s.visualContainers))) AS visual_no, unnest(s.visualContainers) AS c FROM p),
+  c AS (SELECT report_id, page_no, visual_no, CASE WHEN json_valid(c.config) AND NOT regexp_matches(c.config, ',\\s*[}\\]]') THEN CAST(c.config AS JSON) END AS j FROM v)
+  SELECT report_id, report_id || '/sections:' || page_no || '/visualContainers:' || visual_no AS row_id, report_id || '/sections:' || page_no AS parent_id, 'page' AS parent_kind, CAST(page_no AS INT) AS page_no, CAST(visual_no AS INT) AS visual_no,
+  json_extract_string(j, '$.name') AS visual_name, json_extract_string(j, '$.singleVisual.visualType') AS visual_type FROM c""",
 }
