@@ -46,20 +46,20 @@ def fallback(requested: DataFrame, levels: list[tuple[str, DataFrame]]) -> DataF
 def lifecycle_state() -> Column:
     """State of a model from its flags.
 
-    Columns: enabled, file_path, is_renamed, renamed_from, name, is_deleted, in_prod, in_dev,
-    is_new, is_tracked, is_modified, is_committed. Null flags count as false, a null
-    ``enabled`` as true.
+    Columns: enabled, file_path, is_renamed, renamed_from, renamed_to, exists, is_deleted,
+    in_prod, in_dev, is_new, is_modified, is_committed. Null flags count as false, a null
+    ``enabled`` or ``exists`` as true.
     """
-    f = lambda c: F.coalesce(F.col(c), F.lit(False))
-    new = f("is_new") | ~f("in_prod")
+    f = lambda c, missing=False: F.coalesce(F.col(c), F.lit(missing))
+    path = F.coalesce(F.regexp_replace("file_path", r"\\", "/"), F.lit(""))
+    renamed = f("is_renamed") & F.col("renamed_from").isNotNull() & F.col("renamed_to").isNotNull()
+    gone = f("is_deleted") | ~f("exists", True)
+    new = F.when(f("is_new") | ~f("is_committed"), "new_uncommitted").when(f("in_dev"), "new_in_dev_manifest").otherwise("new_committed")
+    kept = F.when(~f("is_modified"), "prod_stable").when(f("in_dev"), "modified_in_dev_manifest").otherwise("modified_uncommitted")
     return (
-        F.when(~F.coalesce("enabled", F.lit(True)), "disabled").when(F.coalesce(F.col("file_path").contains("/deprecated/"), F.lit(False)), "deprecated")
-        .when(f("is_renamed") & (F.col("renamed_from") == F.col("name")), "renamed_old").when(f("is_renamed"), "renamed_new")
-        .when(f("is_deleted"), "deleted_local")
-        .when(new & ~f("is_tracked"), F.when(f("in_dev"), "new_untracked_in_dev").otherwise("new_untracked"))
-        .when(new & f("is_committed"), F.when(f("in_dev"), "new_committed_in_dev").otherwise("new_committed"))
-        .when(new & f("in_dev"), "new_in_dev").when(new, "new_uncommitted")
-        .when(f("is_modified") & f("in_dev"), "modified_in_dev").when(f("is_modified"), "modified_uncommitted").otherwise("stable")
+        F.when(~f("enabled", True), "deprecated_disabled").when(F.concat(F.lit("/"), path).contains("/deprecated/"), "deprecated_folder")
+        .when(renamed, F.when(path.contains(F.col("renamed_from")), "renamed_old").otherwise("renamed_new"))
+        .when(gone, F.when(f("in_prod"), "deleted_locally").otherwise("not_found")).when(~f("in_prod"), new).otherwise(kept)
     )
 
 
@@ -86,7 +86,7 @@ def state_warnings() -> Column:
 
 
 #: States whose columns the production catalog can't know.
-FRESH_STATES = ("new_uncommitted", "new_untracked", "new_committed", "new_in_dev", "modified_uncommitted", "modified_in_dev")
+FRESH_STATES = ("modified_uncommitted", "modified_committed", "modified_in_dev_manifest", "new_uncommitted", "new_committed", "new_in_dev_manifest")
 
 
 def column_source(state: Column, has_catalog: Column, catalog_age_hours: Column, most_hours: float = 24) -> Column:

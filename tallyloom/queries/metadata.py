@@ -363,17 +363,19 @@ def fallback_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve.fallback(every.select("name").union(sources.select("name")), [("prod", nodes(spark, d)), ("dev", every), ("live", sources)])
 
 
-_FLAGS = """SELECT l_orderkey, l_linenumber, l_orderkey % 11 <> 0 AS enabled, CASE WHEN l_partkey % 13 = 0 THEN 'models/deprecated/x.sql' ELSE 'models/core/x.sql' END AS file_path, l_partkey % 17 = 0 AS is_renamed, CASE WHEN l_suppkey % 2 = 0 THEN 'x' ELSE 'y' END AS renamed_from, 'x' AS name,
+_FLAGS = """SELECT l_orderkey, l_linenumber, l_orderkey % 11 <> 0 AS enabled, CASE WHEN l_partkey % 13 = 0 THEN 'models/deprecated/x.sql' ELSE 'models/core/x.sql' END AS file_path, l_partkey % 17 = 0 AS is_renamed, CASE WHEN l_suppkey % 2 = 0 THEN 'core/x.sql' ELSE 'y.sql' END AS renamed_from, 'z.sql' AS renamed_to, l_partkey % 23 <> 0 AS exists_here,
   l_partkey % 19 = 0 AS is_deleted, l_suppkey % 3 <> 0 AS in_prod, l_partkey % 2 = 0 AS in_dev, l_partkey % 5 = 0 AS is_new, l_partkey % 7 <> 0 AS is_tracked, l_orderkey % 3 = 0 AS is_modified, l_orderkey % 2 = 0 AS is_committed FROM {lineitem}"""
 
 
-@Q("lifecycle_state", f"""WITH g AS ({_FLAGS.replace('{lineitem}', 'lineitem')}), x AS (SELECT *, is_new OR NOT in_prod AS fresh FROM g)
-  SELECT CASE WHEN NOT enabled THEN 'disabled' WHEN contains(file_path, '/deprecated/') THEN 'deprecated' WHEN is_renamed AND renamed_from = name THEN 'renamed_old' WHEN is_renamed THEN 'renamed_new' WHEN is_deleted THEN 'deleted_local'
-  WHEN fresh AND NOT is_tracked THEN CASE WHEN in_dev THEN 'new_untracked_in_dev' ELSE 'new_untracked' END WHEN fresh AND is_committed THEN CASE WHEN in_dev THEN 'new_committed_in_dev' ELSE 'new_committed' END WHEN fresh AND in_dev THEN 'new_in_dev' WHEN fresh THEN 'new_uncommitted'
-  WHEN is_modified AND in_dev THEN 'modified_in_dev' WHEN is_modified THEN 'modified_uncommitted' ELSE 'stable' END AS state, count(*) AS n FROM x GROUP BY 1""")
+_STATE_SQL = """CASE WHEN NOT enabled THEN 'deprecated_disabled' WHEN contains(file_path, '/deprecated/') THEN 'deprecated_folder' WHEN is_renamed THEN CASE WHEN contains(file_path, renamed_from) THEN 'renamed_old' ELSE 'renamed_new' END
+  WHEN is_deleted OR NOT exists_here THEN CASE WHEN in_prod THEN 'deleted_locally' ELSE 'not_found' END WHEN NOT in_prod AND is_new THEN 'new_uncommitted' WHEN NOT in_prod AND is_committed AND in_dev THEN 'new_in_dev_manifest' WHEN NOT in_prod AND is_committed THEN 'new_committed'
+  WHEN NOT in_prod THEN 'new_uncommitted' WHEN is_modified AND in_dev THEN 'modified_in_dev_manifest' WHEN is_modified THEN 'modified_uncommitted' ELSE 'prod_stable' END"""
+
+
+@Q("lifecycle_state", f"WITH g AS ({_FLAGS.replace('{lineitem}', 'lineitem')}) SELECT {_STATE_SQL} AS state, count(*) AS n FROM g GROUP BY 1")
 def lifecycle_state(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.sql(_FLAGS, lineitem=table(spark, d, "lineitem"))
-    return rows.select(resolve.lifecycle_state().alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumnRenamed("exists_here", "exists").select(resolve.lifecycle_state().alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @Q("sql_coverage", f"""WITH {MODELS_SQL}, g AS (SELECT count(*) AS n_models, CAST(count_if(trim(coalesce(compiled_code, '')) <> '') AS BIGINT) AS with_sql FROM m)
@@ -425,11 +427,10 @@ def git_warnings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.explode(resolve.state_warnings()).alias("w")).groupBy(F.col("w.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@Q("column_source_route", f"""WITH g AS ({_FLAGS.replace('{lineitem}', 'lineitem')}), x AS (SELECT *, (is_new OR NOT in_prod) AND enabled AS fresh, l_linenumber * 6 AS age FROM g WHERE NOT contains(file_path, '/deprecated/') AND NOT is_renamed AND NOT is_deleted),
-  s AS (SELECT age, in_prod, CASE WHEN NOT enabled THEN 'disabled' WHEN fresh AND NOT is_tracked AND in_dev THEN 'new_untracked_in_dev' WHEN fresh AND is_tracked AND is_committed AND in_dev THEN 'new_committed_in_dev' WHEN fresh OR is_modified THEN 'changed' ELSE 'stable' END AS state FROM x)
-  SELECT CASE WHEN state <> 'changed' AND in_prod AND age <= 24 THEN 'catalog' ELSE 'live' END AS route, count(*) AS n FROM s GROUP BY 1""")
+@Q("column_source_route", f"""WITH g AS ({_FLAGS.replace('{lineitem}', 'lineitem')}), s AS (SELECT {_STATE_SQL} AS state, in_prod, l_linenumber * 6 AS age FROM g)
+  SELECT CASE WHEN NOT starts_with(state, 'new_') AND NOT starts_with(state, 'modified_') AND in_prod AND age <= 24 THEN 'catalog' ELSE 'live' END AS route, count(*) AS n FROM s GROUP BY 1""")
 def column_source_route(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql(_FLAGS, lineitem=table(spark, d, "lineitem")).where("NOT contains(file_path, '/deprecated/') AND NOT is_renamed AND NOT is_deleted")
+    rows = spark.sql(_FLAGS, lineitem=table(spark, d, "lineitem")).withColumnRenamed("exists_here", "exists")
     route = resolve.column_source(resolve.lifecycle_state(), F.col("in_prod"), F.col("l_linenumber") * 6)
     return rows.select(route.alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 

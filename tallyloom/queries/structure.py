@@ -278,14 +278,14 @@ def metric_index(spark: SparkSession, d: str) -> DataFrame:
 
 _EXPRESSIONS = [
     ("a", 'let Source = GoogleBigQuery.Database(), p = Source{[Name="proj"]}[Data], s = p{[Name="core",Kind="Schema"]}[Data], t = s{[Name="orders",Kind="Table"]}[Data] in t'),
-    ("b", 'let Source = Value.NativeQuery(db, "select a#(lf)from proj.core.orders where x = ""y""", null), r = #"Other query" in r'),
-    ("c", "let Source = #table({\"a\"}, {{1}}) in Source"), ("d", "SUM('Order Lines'[Amount]) / COUNT(Orders[id]) + SUM('Order Lines'[Amount])"), ("e", ""), ("f", "let x = 1 in x"),
+    ("b", 'let Source = Value.NativeQuery(db, "select a#(lf)from proj.core.orders where x = ""y""", null), j = Table.NestedJoin(Source, {"k"}, #"Other query", {"k"}, "o", JoinKind.LeftOuter) in j'),
+    ("c", "let Source = Table.FromRows({{1}}) in Source"), ("d", "SUM('Order Lines'[Amount]) / COUNT(Orders[id]) + SUM('Order Lines'[Amount])"), ("e", ""), ("f", "let x = 1 in x"),
 ]
 
 
-@Q("mexpr_kind", "SELECT * FROM (VALUES ('a','navigation','proj.core.orders'),('b','native_sql',NULL),('c','inline',NULL),('d','dax',NULL),('e','unknown',NULL),('f','unknown',NULL)) AS v(id, kind, navigation_table)")
+@Q("mexpr_kind", "SELECT * FROM (VALUES ('a','navigation','proj.core.orders',''),('b','native_sql',NULL,'Other query'),('c','inline',NULL,''),('d','dax',NULL,''),('e','dax',NULL,''),('f','unknown',NULL,'')) AS v(id, kind, navigation_table, cross_refs)")
 def mexpr_kind(spark: SparkSession, d: str) -> DataFrame:
-    return bi.m_sources(spark.createDataFrame(_EXPRESSIONS, "id string, expression string"), "expression").select("id", "kind", "navigation_table")
+    return bi.m_sources(spark.createDataFrame(_EXPRESSIONS, "id string, expression string"), "expression").select("id", "kind", "navigation_table", F.array_join("cross_refs", ",").alias("cross_refs"))
 
 
 @Q("dax_refs", "SELECT * FROM (VALUES ('a',''),('b',''),('c',''),('d','Order Lines[Amount],Orders[id]'),('e',''),('f','')) AS v(id, refs)")
