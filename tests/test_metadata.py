@@ -162,10 +162,11 @@ def test_bi(spark):
     where = lambda c: {"expression": column, "filter": {"Where": [{"Condition": c}]}, "type": "Advanced"}
     lit = lambda v: {"Literal": {"Value": v}}
     cmp_ = {"Comparison": {"ComparisonKind": 1, "Left": column, "Right": lit("100L")}}
-    texts = json.dumps([where({"In": {"Expressions": [column], "Values": [[lit("'a'")], [lit("2D")]]}}), where(cmp_), where({"And": {"Left": cmp_, "Right": {"Not": {"Expression": cmp_}}}}), {"expression": column, "type": "TopN", "filter": {"Where": [{"Condition": {"x": lit("10L")}}]}}, 5, None])
+    texts = json.dumps([where({"In": {"Expressions": [column], "Values": [[lit("'a'")], [lit("2D")]]}}), where(cmp_), where({"And": {"Left": cmp_, "Right": {"Not": {"Expression": cmp_}}}}), {"expression": column, "type": "TopN", "filter": {"Where": [{"Condition": {"x": lit("10L")}}], "OrderBy": [{"Expression": column}]}},
+                        {"expression": column, "type": "RelativeDate", "filter": {"Where": [{"Condition": {"Comparison": {"Left": column, "Right": {"DateSpan": {"Expression": lit("30L"), "TimeUnit": 0}}}}}]}}, {"expression": column}, 5, None])
     rows = spark.createDataFrame([(1, texts), (2, "{broken"), (3, None), (4, "{}")], "k int, f string")
     assert got(bi.extract_filters(rows, ["k"], "f")) == [
-        (1, 0, "T.c", "in", "T.c in (a, 2)"), (1, 1, "T.c", "cmp", "T.c > 100"), (1, 2, "T.c", "advanced", "(T.c > 100 and not T.c > 100)"), (1, 3, "T.c", "top_n", "10")
+        (1, 0, "T.c", "in", "T.c in (a, 2)"), (1, 1, "T.c", "cmp", "T.c > 100"), (1, 2, "T.c", "advanced", "(T.c > 100 and not T.c > 100)"), (1, 3, "T.c", "top_n", "top 10 by T.c"), (1, 4, "T.c", "relative_date", "last 30 days"), (1, 5, "T.c", "advanced", "")
     ]
     assert bi.scrub_people({"users": [{"displayName": "n", "emailAddress": "e"}], "a": [{"modifiedBy": "x", "k": 1}]}) == {"users": [{"displayName": "n"}], "a": [{"k": 1}]}
     reports = spark.createDataFrame([(1, "r1", "Sales review", "ds", ["p.d.t"]), (2, "r2", "Review", None, None), (3, "r3", None, "x", [])], "pos int, report_id string, report_name string, dataset_id string, tables array<string>")
