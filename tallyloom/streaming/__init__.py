@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Empty: the metadata artifacts are delivered as whole snapshots, so no query here is a stream."""
