@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut, planned_once
+from tallyloom.session import cut, planned_once, unsized
 
 #: A parent with more than 1/HOT_SHARE of all links is joined on its own; so there are
 #: fewer than HOT_SHARE such parents, however large the data.
@@ -261,8 +261,8 @@ def heavy_paths(clear: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFram
 def hierarchy(rows: DataFrame, parent: str, children: str) -> dict[str, DataFrame]:
     """Loops, labels and chains of the graph in ``rows`` (parent, array of children).
 
-    ``status``: names on or below loops; ``names``, ``chains``: see heavy_paths. Every
-    name occurs in exactly one of status and names. Repeated links count once, null
+    ``edges``: the links; ``status``: names on or below loops; ``names``, ``chains``: see
+    heavy_paths. Every name occurs in exactly one of status and names. Repeated links count once, null
     names and lists hold none, an empty table gives empty results.
     """
     edges = cut(links(rows, parent, children))
@@ -274,7 +274,7 @@ def hierarchy(rows: DataFrame, parent: str, children: str) -> dict[str, DataFram
         # keys with no link at all are trees of one name
         clear = clear.unionByName(lone.join(known, "x", "left_anti").select("x", F.lit(None).cast("string").alias("up"), F.lit(False).alias("is_inner")))
         names, chains = heavy_paths(clear, inner)
-    return {"status": status, "names": names, "chains": chains}
+    return {"edges": edges, "status": status, "names": names, "chains": chains}
 
 
 def paths(names: DataFrame, chains: DataFrame) -> DataFrame:
@@ -295,3 +295,35 @@ def descendant_intervals(names: DataFrame, chains: DataFrame) -> DataFrame:
     return join_hot(names, chains, "chain").select(
         "x", "root_id", "first", "last", "chain", F.expr("slice(members, int(chain_pos) + 2, size(members))").alias("members")
     )
+
+
+def tree_pairs(names: DataFrame, chains: DataFrame) -> DataFrame:
+    """(x, descendant) along the tree, each name itself included."""
+    return paths(names, chains).select(F.explode("path").alias("x"), F.col("x").alias("descendant"))
+
+
+def _closure(hops: DataFrame) -> DataFrame:
+    """(src, dst) joined by one hop or more; every round doubles the hops that are covered."""
+    pairs, before = unsized(cut(hops.select("src", "dst").distinct())), 0
+    n = pairs.count()
+    with planned_once(pairs.sparkSession, n):
+        while n > before:
+            on = pairs.select(F.col("src").alias("_at"), F.col("dst").alias("_dst"))
+            pairs = unsized(cut(pairs.union(pairs.join(on, F.col("dst") == F.col("_at")).select("src", F.col("_dst").alias("dst"))).distinct()))
+            n, before = pairs.count(), n
+    return pairs
+
+
+def pairs_beside_tree(edges: DataFrame, names: DataFrame, tree: DataFrame) -> DataFrame:
+    """(x, descendant) of the graph that ``tree`` (see tree_pairs) lacks, names on loops included.
+
+    The links left out of the tree are those of second parents and those to names on or
+    below loops. Only they are walked: a hop leads from any name at or above such a link
+    to the link's child, and what the tree has below the children met is added. A name
+    on a loop is below itself.
+    """
+    beside = edges.join(names.select(F.col("up").alias("parent"), F.col("x").alias("child")), ["parent", "child"], "left_anti")
+    # names on or below loops are in no tree, so they stand for themselves
+    hops = beside.join(tree.select("x", F.col("descendant").alias("parent")), "parent", "left").select(F.coalesce("x", "parent").alias("src"), F.col("child").alias("dst"))
+    below = _closure(hops).join(tree.select(F.col("x").alias("dst"), "descendant"), "dst", "left").select(F.col("src").alias("x"), F.coalesce("descendant", "dst").alias("descendant"))
+    return unsized(cut(below.distinct().join(tree, ["x", "descendant"], "left_anti")))

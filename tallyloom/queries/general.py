@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import blank_to_zero, json_core, keep_last_duplicate_keys, sql_core
-from tallyloom.operators.hierarchy import hierarchy, paths
+from tallyloom.operators.hierarchy import hierarchy, pairs_beside_tree, paths, tree_pairs
 from tallyloom.operators.hotkeys import key_totals, latest_versions, list_totals
 from tallyloom.operators.rolling import trailing_totals
 from tallyloom.operators.shredding import Edge, SchemaGraph, Shredder, latest_rows
 from tallyloom.operators.snapshots import snapshot_changes
+from tallyloom.session import cut, unsized
 
 MODEL_PREFIX = "lumen_dwh."
 
@@ -48,15 +49,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.unionByName(looping).where(F.col("unique_id").startswith("model."))
 
 
+def _model_pairs(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(x, descendant) of all models: those of the tree, and those beside it."""
+    tree = unsized(cut(tree_pairs(made["names"], made["chains"])))
+    beside = pairs_beside_tree(made["edges"], made["names"], tree)
+    is_model = F.col("x").startswith("model.")
+    return tree.where(is_model & (F.col("x") != F.col("descendant"))), beside.where(is_model)
+
+
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, root, depth, number of descendants and descendant interval of every model clear of loops."""
+    """Path, root, depth, number of descendants and tree interval of every model.
+
+    ``n_descendants`` counts everything below a model in the graph; the interval numbers
+    the tree alone, p2_descendants has the names. Models on or below loops have no path
+    and no interval.
+    """
     made = hierarchy(table(spark, sf_dir, "child_map"), "unique_id", "children")
+    more = _model_pairs(made)[1].groupBy("x").agg(F.count(F.lit(1)).alias("_more"))
+    placed = paths(made["names"], made["chains"]).select("x", "root_id", "depth", F.array_join("path", " > ").alias("path"), "n_descendants", "first", "last")
+    looping = made["status"].select("x", F.col("status").alias("root_id"), F.lit(-1).alias("depth"), F.lit(0).cast("long").alias("n_descendants"))
     return (
-        paths(made["names"], made["chains"]).where(F.col("x").startswith("model."))
-        .select(F.col("x").alias("unique_id"), "root_id", "depth", F.array_join("path", " > ").alias("path"), "n_descendants", F.col("first").alias("first_no"), F.col("last").alias("last_no"))
+        placed.unionByName(looping, allowMissingColumns=True).where(F.col("x").startswith("model.")).join(more, "x", "left")
+        .select(F.col("x").alias("unique_id"), "root_id", "depth", "path", (F.col("n_descendants") + F.coalesce("_more", F.lit(0))).alias("n_descendants"), F.col("first").alias("first_no"), F.col("last").alias("last_no"))
     )
 
 
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model with each name below it; a model on a loop is below itself."""
+    tree, beside = _model_pairs(hierarchy(table(spark, sf_dir, "child_map"), "unique_id", "children"))
+    return tree.unionByName(beside).select(F.col("x").alias("unique_id"), "descendant")
+
+
 def reference_records(refs: DataFrame) -> DataFrame:
     """Latest delivery of each reference record, with its table and count."""
     rows = refs.select(
@@ -184,6 +207,7 @@ QUERIES = {
     "p1_summary": p1_summary,
     "p2_found": p2_found,
     "p2_paths": p2_paths,
+    "p2_descendants": p2_descendants,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_models": p4_models,
@@ -226,6 +250,8 @@ ORACLES = {
   SELECT CAST(coalesce(n.pair, o.pair) AS VARCHAR) AS snapshot_date, coalesce(n.unique_id, o.unique_id) AS unique_id, CASE WHEN o.unique_id IS NULL THEN 'added' WHEN n.unique_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
   FROM n FULL JOIN o ON n.pair = o.pair AND n.unique_id = o.unique_id WHERE o.unique_id IS NULL OR n.unique_id IS NULL OR n.code IS DISTINCT FROM o.code OR n.conf IS DISTINCT FROM o.conf""",
     "p2_found": _P2_SQL,
+    "p2_descendants": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT unique_id AS src, unnest(children) AS dst FROM child_map) WHERE dst IS NOT NULL),
+  below(x, y) AS (SELECT src, dst FROM e UNION SELECT below.x, e.dst FROM below JOIN e ON e.src = below.y) SELECT x AS unique_id, y AS descendant FROM below WHERE x LIKE 'model.%'""",
     "p3_found": f"""WITH {_RECORDS_SQL}, k AS (SELECT unique_id, unnest(children) AS c FROM child_map)
   SELECT 'table_reference_incremental' AS table_name, name AS key_id, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS total FROM v WHERE name IS NOT NULL GROUP BY 2
   UNION ALL SELECT 'child_map', a.unique_id, count(c), count(DISTINCT c) FROM (SELECT DISTINCT unique_id FROM child_map) a LEFT JOIN k USING (unique_id) GROUP BY 2""",

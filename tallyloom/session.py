@@ -64,6 +64,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``df``, which should be cut, without its size estimate.
+
+    Estimates are multiplied at joins and survive a cut; after some rounds of self-joins
+    they have so many digits that the driver is busy with planning alone.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 @contextmanager
 def planned_once(spark: SparkSession, rows: int) -> Iterator[None]:
     """Adaptive planning off while ``rows`` are few; set back afterwards."""

@@ -99,6 +99,30 @@ def test_deep_chain_and_wide_parent(spark):
     assert out["n000"]["n_descendants"] == 430 and len({r["first"] for r in out.values()}) == 431
 
 
+def test_descendants_beside_the_tree(spark, tmp_path):
+    below = {
+        "r": ["a", "b"], "a": ["c"], "b": ["c", "d"], "c": ["e"], "d": ["e", "l1"], "e": ["t"], "l1": ["l2"], "l2": ["l1", "u"], "u": ["v"], "v": None, "s": ["s"], "z": [], "q": ["v", "e"],
+    }
+    m = lambda x: f"model.{x}"
+    rows = [(m(k), v if v is None else [m(x) for x in v]) for k, v in below.items()]
+    spark.createDataFrame(rows, "unique_id string, children array<string>").write.parquet(f"{tmp_path}/child_map.parquet")
+
+    def all_below(x):
+        seen, todo = set(), list(below.get(x) or [])
+        while todo:
+            if (y := todo.pop()) not in seen:
+                seen.add(y)
+                todo += below.get(y) or []
+        return seen
+
+    names = {*below, *(y for v in below.values() for y in v or [])}
+    pairs = got(general.QUERIES["p2_descendants"](spark, str(tmp_path)))
+    assert sorted(pairs) == sorted((m(x), m(y)) for x in names for y in all_below(x))
+    out = {r["unique_id"]: r for r in general.QUERIES["p2_paths"](spark, str(tmp_path)).collect()}
+    assert {x: r["n_descendants"] for x, r in out.items()} == {m(x): len(all_below(x)) for x in names}
+    assert (out[m("l1")]["root_id"], out[m("v")]["root_id"], out[m("v")]["depth"], out[m("v")]["path"]) == ("cycle", "below_cycle", -1, None)
+
+
 def test_join_hot(spark):
     left = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(300_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
