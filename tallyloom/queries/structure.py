@@ -67,6 +67,42 @@ def relation_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.relation_edges(edges(spark, d), known(spark, d), sources(spark, d))
 
 
+def every_start(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("start")).distinct()
+
+
+_REACH_ALL_SQL = _REACH_SQL.replace(" WHERE src LIKE 'source.%'", "")
+
+
+@Q("descendants_all", f"{_REACH_ALL_SQL} SELECT s AS start, x AS node, min(level) AS level FROM w GROUP BY 1, 2")
+def descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    """As descendants, from every name that has children."""
+    e = edges(spark, d)
+    return graph.reach(e, every_start(e))
+
+
+@Q("ancestors_all", f"WITH RECURSIVE {EDGES_SQL}, w(s, x) AS (SELECT dst, src FROM e UNION SELECT w.s, e.src FROM w JOIN e ON e.dst = w.x) SELECT s AS start, x AS node FROM w")
+def ancestors_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ancestors, from every name that has parents."""
+    up = graph.reverse(edges(spark, d))
+    return graph.reach(up, every_start(up)).select("start", "node")
+
+
+@Q("downstream_models_all", f"{_REACH_ALL_SQL}, {NODES_SQL} SELECT s AS start, x AS model, min(level) AS level FROM w WHERE x LIKE 'model.%' AND (x IN (SELECT unique_id FROM n) OR x IN (SELECT unique_id FROM manifest_sources)) GROUP BY 1, 2")
+def downstream_models_all(spark: SparkSession, d: str) -> DataFrame:
+    """As downstream_models, from every name that has children."""
+    e = edges(spark, d)
+    return graph.downstream_models(e, every_start(e), known(spark, d))
+
+
+@Q("relation_edges_all", f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, k AS (SELECT unique_id FROM n UNION SELECT unique_id FROM manifest_sources), l AS (SELECT * FROM e WHERE dst NOT LIKE 'test.%' AND dst IN (SELECT unique_id FROM k)),
+  w(s, x) AS (SELECT src, src FROM l UNION SELECT w.s, l.dst FROM w JOIN l ON l.src = w.x) SELECT w.s AS start, l.src, l.dst FROM w JOIN l ON l.src = w.x""")
+def relation_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    """As relation_edges, from every name that has children."""
+    e = edges(spark, d)
+    return graph.relation_edges(e, known(spark, d), every_start(e))
+
+
 @Q("topo_levels", f"""WITH RECURSIVE {EDGES_SQL}, x AS (SELECT src AS x FROM e UNION SELECT dst FROM e), anc(x, a) AS (SELECT dst, src FROM e UNION SELECT anc.x, e.src FROM anc JOIN e ON e.dst = anc.a),
   bad AS (SELECT DISTINCT a.x FROM anc a JOIN (SELECT x FROM anc WHERE x = a) l ON a.a = l.x), f AS (SELECT * FROM e WHERE dst NOT IN (SELECT x FROM bad) AND src NOT IN (SELECT x FROM bad)),
   lv(x, level) AS (SELECT x, 0 FROM x WHERE x NOT IN (SELECT x FROM bad) AND x NOT IN (SELECT dst FROM e) UNION SELECT f.dst, lv.level + 1 FROM lv JOIN f ON f.src = lv.x) SELECT x, max(level) AS level FROM lv GROUP BY 1""")
@@ -305,6 +341,16 @@ def query_closure(spark: SparkSession, d: str) -> DataFrame:
     return graph.query_closure(e.select(F.lit("all").alias("dataset"), F.col("src").alias("query"), F.col("dst").alias("other")), names).join(starts.select("query"), "query", "left_semi").select("dataset", "query", "table_name")
 
 
+@Q("query_closure_all", f"""WITH RECURSIVE {EDGES_SQL}, q(s, x) AS (SELECT x, x FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) UNION SELECT q.s, e.dst FROM q JOIN e ON e.src = q.x AND e.dst NOT LIKE 'test.%')
+  SELECT DISTINCT 'all' AS dataset, s AS query, regexp_extract(x, '([^.]*)$', 1) AS table_name FROM q""")
+def query_closure_all(spark: SparkSession, d: str) -> DataFrame:
+    """As query_closure, from every name of the graph."""
+    every = edges(spark, d)
+    e = every.where(~F.col("dst").startswith("test."))
+    names = every.select("src").union(every.select("dst")).distinct().select(F.lit("all").alias("dataset"), F.col("src").alias("query"), select.short_name("src").alias("table_name"))
+    return graph.query_closure(e.select(F.lit("all").alias("dataset"), F.col("src").alias("query"), F.col("dst").alias("other")), names)
+
+
 @Q("schema_graph", "SELECT * FROM (VALUES ('root', 1), ('repeated', 4), ('shared', 1), ('recursive', 1), ('inlined', 3)) AS v(placement, n_elements)")
 def schema_graph(spark: SparkSession, d: str) -> DataFrame:
     counts: dict[str, int] = {}
