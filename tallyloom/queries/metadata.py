@@ -400,6 +400,13 @@ def columns_with_docs(spark: SparkSession, d: str) -> DataFrame:
     return select.columns_with_docs(docs.where("column <> 'payload'").select("unique_id", "column").distinct(), docs.where(F.length("column") < 9))
 
 
+@Q("columns_with_all_docs", f"""WITH {MODELS_SQL}, k AS (SELECT unique_id, unnest(map_entries(columns)) AS c FROM m) SELECT unique_id, c.key AS "column", coalesce(c.value.description, '') AS description FROM k""")
+def columns_with_all_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Every column with its documentation, whatever its name."""
+    docs = select.documented_columns(models(spark, d))
+    return select.columns_with_docs(docs.select("unique_id", "column").distinct(), docs)
+
+
 @Q("config_projection", f"WITH {MODELS_SQL} SELECT unique_id, json_extract_string(config, '$.meta.tier') AS tier, json_extract_string(config, '$.meta.checks.fresh_hours') AS fresh_hours FROM m")
 def config_projection(spark: SparkSession, d: str) -> DataFrame:
     return models(spark, d).select("unique_id", select.config_value("meta.tier").alias("tier"), select.config_value("meta.checks.fresh_hours").alias("fresh_hours"))
