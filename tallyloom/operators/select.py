@@ -128,6 +128,18 @@ def find_path(models: DataFrame, name: str) -> DataFrame:
     return by_name.orderBy("_rank", "pos").limit(1).select("original_file_path")
 
 
+def find_paths(models: DataFrame) -> DataFrame:
+    """(name, original_file_path): find_path for every model name and every ``schema.table`` at once."""
+    rows = all_models(models)
+    stored = F.explode(F.transform(F.array_distinct(F.array_compact(F.array("alias", "name"))), lambda t: F.concat_ws(".", "schema", t)))
+    asked = rows.select(short_name().alias("name"), F.lit(0).alias("_rank"), "pos", "original_file_path", "unique_id").unionByName(
+        rows.where("schema IS NOT NULL").select(stored.alias("name"), F.lit(1).alias("_rank"), "pos", "original_file_path", "unique_id")
+    )
+    # nulls of pos come first, as in find_path
+    first = F.struct("_rank", "pos", "unique_id")
+    return asked.where("name IS NOT NULL").groupBy("name").agg(F.min_by("original_file_path", first).alias("original_file_path"))
+
+
 def sql_projection(models: DataFrame, raw: bool = False) -> DataFrame:
     return models.select("unique_id", F.coalesce(F.col("raw_code" if raw else "compiled_code"), F.lit("")).alias("sql"))
 

@@ -417,6 +417,14 @@ def find_path(spark: SparkSession, d: str) -> DataFrame:
     return select.find_path(models(spark, d), "no_such_model")
 
 
+@Q("find_paths", f"""WITH {MODELS_SQL}, a AS (SELECT {SHORT} AS name, 0 AS rank, pos, unique_id, original_file_path FROM m UNION ALL SELECT schema || '.' || alias, 1, pos, unique_id, original_file_path FROM m WHERE alias IS NOT NULL
+  UNION ALL SELECT schema || '.' || name, 1, pos, unique_id, original_file_path FROM m WHERE name IS NOT NULL)
+  SELECT name, original_file_path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, pos NULLS FIRST, unique_id) AS i FROM a WHERE name IS NOT NULL) WHERE i = 1""")
+def find_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Path of every model name and of every schema.table."""
+    return select.find_paths(models(spark, d))
+
+
 _CODES = """SELECT DISTINCT CASE event_id % 5 WHEN 0 THEN '??' WHEN 1 THEN ' M' WHEN 2 THEN 'R ' WHEN 3 THEN 'A ' ELSE ' D' END AS code, CASE WHEN event_id % 5 = 2 THEN concat('models/', event_type, '.sql -> models/new_', event_type, '.sql') ELSE concat('models/', event_type, '.sql') END AS path FROM {events}"""
 
 
