@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut, planned_once
+from tallyloom.operators.graph import HOPS
+from tallyloom.operators.hierarchy import endless
+from tallyloom.session import Kept, Rounds
 
 # fixed values: types that cannot be clustered or can be partitioned on
 NOT_CLUSTERABLE = ("STRUCT", "ARRAY", "GEOGRAPHY", "JSON")
@@ -122,59 +124,61 @@ def pruning_split(children: DataFrame, pruning: DataFrame, materialized: DataFra
 
 # -- refresh ------------------------------------------------------------------
 
-def topological_levels(edges: DataFrame, nodes: DataFrame, most: int = 10_000) -> DataFrame:
-    """(x, level): longest way from a name without parents; names in or below loops get no level.
+def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(x, level): longest way from a name without parents; names on or below loops come last, one level after all others.
 
-    ``edges`` (src, dst) are restricted to ``nodes`` (x). One round of joins per level;
-    a name is placed once all its parents are, so each edge is used once.
+    ``edges`` (src, dst) are restricted to ``nodes`` (x). Loops are set apart first; then
+    the names whose level grew pass it on, HOPS links a round.
     """
-    inside = edges.join(nodes.select(F.col("x").alias("src")), "src", "left_semi").join(nodes.select(F.col("x").alias("dst")), "dst", "left_semi").distinct()
-    waiting = cut(nodes.select("x").distinct().join(inside.groupBy(F.col("dst").alias("x")).agg(F.count(F.lit(1)).alias("todo")), "x", "left").select("x", F.coalesce("todo", F.lit(0)).alias("todo")))
-    inside = cut(inside)
-    out, level = None, 0
-    with planned_once(inside.sparkSession, inside.count()):
-        while level < most:
-            ready = cut(waiting.where("todo = 0").select("x", F.lit(level).alias("level")))
-            if ready.isEmpty():
-                break
-            out = ready if out is None else out.unionByName(ready)
-            freed = inside.join(ready.select(F.col("x").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("x")).agg(F.count(F.lit(1)).alias("_n"))
-            waiting = cut(waiting.where("todo > 0").join(freed, "x", "left").select("x", (F.col("todo") - F.coalesce("_n", F.lit(0))).alias("todo")))
-            level += 1
-    return out if out is not None else nodes.select("x", F.lit(0).alias("level")).limit(0)
-
-
-def propagate_changes(changed: DataFrame, edges: DataFrame, events: DataFrame, stars: DataFrame, no_sql: DataFrame, most: int = 10_000) -> DataFrame:
+    r = Rounds(edges.sparkSession, 1)
+    inside = edges.join(nodes.select(F.col("x").alias("src")), "src", "left_semi").join(nodes.select(F.col("x").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    graph = r.enter(inside)
+    bad = r.cut(endless(r, graph)).df
+    hop = r.cut(graph.df.join(bad.withColumnRenamed("x", "dst"), "dst", "left_anti").select("src", "dst")).df
+    names = r.cut(nodes.where("x IS NOT NULL").select("x").distinct().join(bad, "x", "left_anti"))
+    state = r.cut(names.df.select("x", F.lit(0).alias("level")), top=F.max("level"))
+    new = r.cut(names.df.join(hop.select(F.col("dst").alias("x")).distinct(), "x", "left_anti").select("x", F.lit(0).alias("level")))
+    while new.n:
+        step, steps = new.df, None
+        for _ in range(HOPS):
+            step = step.withColumnRenamed("x", "src").join(hop, "src").groupBy(F.col("dst").alias("x")).agg((F.max("level") + 1).alias("level"))
+            steps = step if steps is None else steps.unionByName(step)
+        best = steps.groupBy("x").agg(F.max("level").alias("_l"))
+        after = state.df.join(best, "x", "left").select("x", F.greatest("level", F.coalesce("_l", "level")).alias("level"), (F.col("_l") > F.col("level")).alias("_new"))
+        state = r.cut(after, n_new=F.count_if("_new"), top=F.max("level"))
+        new = Kept(state.df.where("_new").select("x", "level"), state.facts["n_new"])
+    last = bad.join(nodes.select("x").distinct(), "x", "left_semi").select("x", F.lit(state.facts["top"] + 1).alias("level"))
+    return r.leave(r.cut(state.df.select("x", "level").unionByName(last)))
+
+
+def propagate_changes(changed: DataFrame, edges: DataFrame, events: DataFrame, stars: DataFrame, no_sql: DataFrame) -> DataFrame:
     """(model, column): what of each model is affected by the changes; column ``*`` is all of it.
 
     ``changed`` (model, column), ``edges`` (parent, model), ``events`` (parent, model,
     column) for every use of a parent's column, ``stars`` (parent, model, bare_star) for
     every query that names the parent, ``no_sql`` (model). A change passes on if the
     model has no text, takes a bare star of the parent, or uses a changed column; if all
-    of the parent changed, any use or reference passes everything on. The loop adds pairs
-    until none is new, so loops in the graph end it too.
+    of the parent changed, any use or reference passes everything on. The rounds add pairs
+    until none is new, so loops in the graph end them too.
     """
-    uses, stars, edges = cut(events.select("parent", "model", "column").distinct()), cut(stars.select("parent", "model", "bare_star").distinct()), cut(edges.select("parent", "model").distinct())
-    blind = edges.join(no_sql.select("model").distinct(), "model", "left_semi").select("parent", "model")
-    bare = stars.where("bare_star").select("parent", "model")
-    everything = cut(blind.union(bare).distinct())
-    touching = cut(uses.select("parent", "model").union(stars.select("parent", "model")).distinct())
-    known = frontier = cut(changed.select("model", "column").distinct())
-    tasks = int(uses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    with planned_once(uses.sparkSession, uses.count()):
-        for _ in range(most):
-            parents = frontier.withColumnRenamed("model", "parent")
-            star = F.lit("*").alias("column")
-            step = (
-                parents.join(everything, "parent").select("model", star)
-                .union(parents.where("column = '*'").join(touching, "parent").select("model", star))
-                .union(parents.where("column <> '*'").join(uses, ["parent", "column"]).select("model", "column"))
-            ).distinct()
-            frontier = cut(step.join(known, ["model", "column"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            known = cut(known.unionByName(frontier).coalesce(tasks))
-    return known
+    r = Rounds(changed.sparkSession, 1)
+    uses = r.enter(events.select("parent", "model", "column").distinct())
+    stars, edges = r.cut(stars.select("parent", "model", "bare_star").distinct()), r.cut(edges.select("parent", "model").distinct())
+    blind = edges.df.join(no_sql.select("model").distinct(), "model", "left_semi").select("parent", "model")
+    everything = r.cut(blind.union(stars.df.where("bare_star").select("parent", "model")).distinct()).df
+    touching = r.cut(uses.df.select("parent", "model").union(stars.df.select("parent", "model")).distinct()).df
+    known = frontier = r.cut(changed.select("model", "column").distinct())
+    while frontier.n:
+        parents = frontier.df.withColumnRenamed("model", "parent")
+        star = F.lit("*").alias("column")
+        step = (
+            parents.join(everything, "parent").select("model", star)
+            .union(parents.where("column = '*'").join(touching, "parent").select("model", star))
+            .union(parents.where("column <> '*'").join(uses.df, ["parent", "column"]).select("model", "column"))
+        ).distinct()
+        frontier = r.cut(step.join(known.df, ["model", "column"], "left_anti"))
+        known = r.cut(known.df.unionByName(frontier.df).coalesce(r.tasks))
+    return r.leave(known)
 
 
 def refresh_plan(downstream: DataFrame, affected: DataFrame, changed: DataFrame, models: DataFrame) -> DataFrame:

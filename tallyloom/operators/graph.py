@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import PLAN_ONCE, cut, planned_once
+from tallyloom.session import Kept, Rounds, cut
 
-#: Hops of a breadth-first round over few edges.
+#: Hops of a breadth-first round.
 HOPS = 4
 
 
@@ -33,31 +33,33 @@ def direct(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct().join(starts.select("start").distinct(), "start", "left_semi")
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, level): everything reachable from each start, with the least number of hops.
 
-    Breadth first for all starts at once; every round joins only the pairs that are new.
-    The start itself is reported only if it lies on a loop. Unknown starts give no rows.
+    Breadth first for all starts at once, HOPS hops a round; every round joins only the
+    pairs that are new. The start itself is reported only if it lies on a loop. Unknown
+    starts give no rows, null names are no names.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    with planned_once(edges.sparkSession, edges.count()):
-        out = frontier = cut(starts.select("start").distinct().join(edges.withColumnRenamed("src", "start"), "start").select("start", F.col("dst").alias("node"), F.lit(1).alias("level")))
-        level, hops = 1, HOPS if edges.count() <= PLAN_ONCE and most is None else 1
-        hop = edges.withColumnRenamed("src", "node")
-        while not frontier.isEmpty() and (most is None or level < most):
-            step, steps = frontier.select("start", "node"), None
-            for i in range(1, hops + 1):
-                step = step.join(hop, "node").select("start", F.col("dst").alias("node")).distinct()
-                at = step.withColumn("level", F.lit(level + i))
-                steps = at if steps is None else steps.unionByName(at)
-            steps = steps.groupBy("start", "node").agg(F.min("level").alias("level")) if hops > 1 else steps
-            frontier, level = cut(steps.join(out, ["start", "node"], "left_anti")), level + hops
-            out = out.unionByName(frontier)
-            # names met on the way were expanded in the same round, so only the last ones go on
-            frontier = frontier.where(F.col("level") == level)
-            if level % 8 <= hops:
-                out = cut(out.coalesce(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return out
+    r = Rounds(edges.sparkSession, 1)
+    hop = r.enter(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("node"), "dst").distinct()).df
+    first = starts.select("start").distinct().join(hop.withColumnRenamed("node", "start"), "start").select("start", F.col("dst").alias("node"), F.lit(1).alias("level"))
+    new = r.cut(first)
+    out, level = new, 1
+    while new.n:
+        r.sized(max(new.n * HOPS, 1))
+        step, steps = new.df.select("start", "node"), None
+        for i in range(1, HOPS + 1):
+            step = step.join(hop, "node").select("start", F.col("dst").alias("node")).distinct()
+            at = step.withColumn("level", F.lit(level + i))
+            steps = at if steps is None else steps.unionByName(at)
+        steps = steps.groupBy("start", "node").agg(F.min("level").alias("level")).join(out.df, ["start", "node"], "left_anti")
+        level += HOPS
+        # names met on the way were expanded in the same round, so only the last ones go on
+        fresh = r.cut(steps, n_last=F.count_if(F.col("level") == level))
+        r.sized(max(out.n + fresh.n, 1))
+        out = r.cut(out.df.unionByName(fresh.df).coalesce(r.tasks))
+        new = Kept(fresh.df.where(F.col("level") == level), fresh.facts["n_last"])
+    return r.leave(out)
 
 
 def lineage_query(nodes: DataFrame, edges: DataFrame, ids: DataFrame, downstream: bool) -> DataFrame:

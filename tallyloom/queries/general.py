@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import blank_to_zero, json_core, keep_last_duplicate_keys, sql_core
-from tallyloom.operators.hierarchy import hierarchy, pairs_beside_tree, paths, tree_pairs
+from tallyloom.operators.hierarchy import Hierarchy, tree_pairs
 from tallyloom.operators.hotkeys import key_totals, latest_versions, list_totals
 from tallyloom.operators.rolling import trailing_totals
 from tallyloom.operators.shredding import Edge, SchemaGraph, Shredder, latest_rows
 from tallyloom.operators.snapshots import snapshot_changes
-from tallyloom.session import cut, unsized
 
 MODEL_PREFIX = "lumen_dwh."
 
@@ -42,42 +41,44 @@ def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = hierarchy(table(spark, sf_dir, "child_map"), "unique_id", "children")
-    placed = made["names"].select(F.col("x").alias("unique_id"), "root_id", F.col("depth").cast("int"))
-    looping = made["status"].select(F.col("x").alias("unique_id"), F.col("status").alias("root_id"), F.lit(-1).cast("int").alias("depth"))
-    return placed.unionByName(looping).where(F.col("unique_id").startswith("model."))
+def _child_map(spark: SparkSession, sf_dir: str) -> Hierarchy:
+    return Hierarchy(table(spark, sf_dir, "child_map"), "unique_id", "children")
 
 
-def _model_pairs(made: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(x, descendant) of all models: those of the tree, and those beside it."""
-    tree = unsized(cut(tree_pairs(made["names"], made["chains"])))
-    beside = pairs_beside_tree(made["edges"], made["names"], tree)
-    is_model = F.col("x").startswith("model.")
-    return tree.where(is_model & (F.col("x") != F.col("descendant"))), beside.where(is_model)
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _child_map(spark, sf_dir)
+    placed = made.depths().select(F.col("x").alias("unique_id"), "root_id", F.col("depth").cast("int"))
+    looping = made.status.select(F.col("x").alias("unique_id"), F.col("status").alias("root_id"), F.lit(-1).cast("int").alias("depth"))
+    return placed.unionByName(looping).where(F.col("unique_id").startswith("model."))
 
 
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, root, depth, number of descendants and tree interval of every model.
+    """Path, root, depth and number of descendants of every model.
 
-    ``n_descendants`` counts everything below a model in the graph; the interval numbers
-    the tree alone, p2_descendants has the names. Models on or below loops have no path
-    and no interval.
+    ``n_descendants`` counts everything below a model in the graph, p2_descendants has the
+    names. Models on or below loops have no path.
     """
-    made = hierarchy(table(spark, sf_dir, "child_map"), "unique_id", "children")
-    more = _model_pairs(made)[1].groupBy("x").agg(F.count(F.lit(1)).alias("_more"))
-    placed = paths(made["names"], made["chains"]).select("x", "root_id", "depth", F.array_join("path", " > ").alias("path"), "n_descendants", "first", "last")
-    looping = made["status"].select("x", F.col("status").alias("root_id"), F.lit(-1).alias("depth"), F.lit(0).cast("long").alias("n_descendants"))
+    made = _child_map(spark, sf_dir)
+    paths = made.paths()
+    more = made.pairs(tree_pairs(paths)).where(F.col("x").startswith("model.")).groupBy("x").agg(F.count(F.lit(1)).alias("_more"))
+    placed = paths.select("x", "root_id", "depth", F.array_join("path", " > ").alias("path"), (F.col("size") - 1).alias("_own"))
+    looping = made.status.select("x", F.col("status").alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("_own"))
     return (
-        placed.unionByName(looping, allowMissingColumns=True).where(F.col("x").startswith("model.")).join(more, "x", "left")
-        .select(F.col("x").alias("unique_id"), "root_id", "depth", "path", (F.col("n_descendants") + F.coalesce("_more", F.lit(0))).alias("n_descendants"), F.col("first").alias("first_no"), F.col("last").alias("last_no"))
+        placed.unionByName(looping).where(F.col("x").startswith("model.")).join(more, "x", "left")
+        .select(F.col("x").alias("unique_id"), "root_id", "depth", "path", (F.col("_own") + F.coalesce("_more", F.lit(0))).alias("n_descendants"))
     )
 
 
+def p2_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preorder interval of every name clear of loops: below it are the names of its root in (first_no, last_no]."""
+    return _child_map(spark, sf_dir).intervals().select(F.col("x").alias("unique_id"), "root_id", F.col("first").alias("first_no"), F.col("last").alias("last_no"))
+
+
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every model with each name below it; a model on a loop is below itself."""
-    tree, beside = _model_pairs(hierarchy(table(spark, sf_dir, "child_map"), "unique_id", "children"))
-    return tree.unionByName(beside).select(F.col("x").alias("unique_id"), "descendant")
+    made = _child_map(spark, sf_dir)
+    tree = tree_pairs(made.paths())
+    return tree.where("x <> descendant").unionByName(made.pairs(tree)).where(F.col("x").startswith("model.")).select(F.col("x").alias("unique_id"), "descendant")
 
 
 def reference_records(refs: DataFrame) -> DataFrame:
@@ -207,6 +208,7 @@ QUERIES = {
     "p1_summary": p1_summary,
     "p2_found": p2_found,
     "p2_paths": p2_paths,
+    "p2_intervals": p2_intervals,
     "p2_descendants": p2_descendants,
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -220,14 +222,14 @@ QUERIES = {
     "p5_schema": p5_schema,
 }
 
-_P2_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT unique_id AS src, unnest(children) AS dst FROM child_map) WHERE dst IS NOT NULL),
-  names AS (SELECT unique_id AS x FROM child_map UNION SELECT dst FROM e),
+_LINKS_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT unique_id AS src, unnest(children) AS dst FROM child_map) WHERE src IS NOT NULL AND dst IS NOT NULL),
+  names AS (SELECT unique_id AS x FROM child_map WHERE unique_id IS NOT NULL UNION SELECT dst FROM e),
   anc(x, a) AS (SELECT dst, src FROM e UNION SELECT anc.x, e.src FROM anc JOIN e ON e.dst = anc.a),
   looping AS (SELECT x FROM anc WHERE x = a), below AS (SELECT DISTINCT anc.x FROM anc JOIN looping l ON anc.a = l.x),
   up AS (SELECT dst AS x, min(src) AS p FROM e GROUP BY 1),
-  climb(x, top, depth) AS (SELECT x, x, 0 FROM names WHERE x NOT IN (SELECT x FROM below) AND x NOT IN (SELECT x FROM looping) UNION ALL SELECT c.x, up.p, c.depth + 1 FROM climb c JOIN up ON up.x = c.top),
-  tops AS (SELECT x AS unique_id, arg_max(top, depth) AS root_id, max(depth) AS depth FROM climb GROUP BY 1)
-  SELECT * FROM (SELECT * FROM tops UNION ALL SELECT x, 'cycle', -1 FROM looping UNION ALL SELECT x, 'below_cycle', -1 FROM below WHERE x NOT IN (SELECT x FROM looping)) WHERE unique_id LIKE 'model.%'"""
+  climb(x, top, depth, path) AS (SELECT x, x, 0, x FROM names WHERE x NOT IN (SELECT x FROM below) AND x NOT IN (SELECT x FROM looping) UNION ALL SELECT c.x, up.p, c.depth + 1, up.p || ' > ' || c.path FROM climb c JOIN up ON up.x = c.top),
+  tops AS (SELECT x AS unique_id, arg_max(top, depth) AS root_id, max(depth) AS depth, arg_max(path, depth) AS path FROM climb GROUP BY 1),
+  placed AS (SELECT * FROM tops UNION ALL SELECT x, 'cycle', -1, NULL FROM looping UNION ALL SELECT x, 'below_cycle', -1, NULL FROM below WHERE x NOT IN (SELECT x FROM looping))"""
 _HOURS_SQL = """h AS (SELECT * FROM (SELECT CASE WHEN starts_with(dbt_model_name, 'lumen_dwh.') THEN substr(dbt_model_name, 11) ELSE dbt_model_name END AS model, CAST(hour AS DATE) AS day,
    coalesce(try_cast(trim(total_query_cost) AS DECIMAL(18,6)), 0) AS cost, row_number() OVER (PARTITION BY CASE WHEN starts_with(dbt_model_name, 'lumen_dwh.') THEN substr(dbt_model_name, 11) ELSE dbt_model_name END, hour ORDER BY loaded_at DESC) AS i
    FROM models_costs_incremental WHERE dbt_model_name IS NOT NULL) WHERE i = 1),
@@ -249,7 +251,8 @@ ORACLES = {
   n AS (SELECT r.*, s.snapshot_date AS pair FROM r JOIN s ON r.snapshot_date = s.snapshot_date WHERE before IS NOT NULL), o AS (SELECT r.*, s.snapshot_date AS pair FROM r JOIN s ON r.snapshot_date = s.before)
   SELECT CAST(coalesce(n.pair, o.pair) AS VARCHAR) AS snapshot_date, coalesce(n.unique_id, o.unique_id) AS unique_id, CASE WHEN o.unique_id IS NULL THEN 'added' WHEN n.unique_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
   FROM n FULL JOIN o ON n.pair = o.pair AND n.unique_id = o.unique_id WHERE o.unique_id IS NULL OR n.unique_id IS NULL OR n.code IS DISTINCT FROM o.code OR n.conf IS DISTINCT FROM o.conf""",
-    "p2_found": _P2_SQL,
+    "p2_found": f"{_LINKS_SQL} SELECT unique_id, root_id, depth FROM placed WHERE unique_id LIKE 'model.%'",
+    "p2_paths": f"{_LINKS_SQL} SELECT p.*, coalesce(n, 0) AS n_descendants FROM placed p LEFT JOIN (SELECT a, count(*) AS n FROM anc GROUP BY 1) d ON d.a = p.unique_id WHERE unique_id LIKE 'model.%'",
     "p2_descendants": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT unique_id AS src, unnest(children) AS dst FROM child_map) WHERE dst IS NOT NULL),
   below(x, y) AS (SELECT src, dst FROM e UNION SELECT below.x, e.dst FROM below JOIN e ON e.src = below.y) SELECT x AS unique_id, y AS descendant FROM below WHERE x LIKE 'model.%'""",
     "p3_found": f"""WITH {_RECORDS_SQL}, k AS (SELECT unique_id, unnest(children) AS c FROM child_map)

@@ -20,16 +20,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_table(table(spark, d, "child_map"), "unique_id", "children").select("src", "dst").distinct()
 
 
-def sources(spark: SparkSession, d: str) -> DataFrame:
-    """Starts of the reach queries: every source that has children."""
-    return edges(spark, d).select(F.col("src").alias("start")).distinct().where(F.col("start").startswith("source."))
+def every_start(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("start")).distinct()
 
 
 def known(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).select(F.col("unique_id").alias("id")).union(table(spark, d, "manifest_sources").select("unique_id")).distinct()
 
 
-_REACH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, w(s, x, level) AS (SELECT src, dst, 1 FROM e WHERE src LIKE 'source.%' UNION SELECT w.s, e.dst, w.level + 1 FROM w JOIN e ON e.src = w.x WHERE w.level < 120)"""
+_REACH_SQL = f"WITH RECURSIVE {EDGES_SQL}, w(s, x) AS (SELECT src, dst FROM e UNION SELECT w.s, e.dst FROM w JOIN e ON e.src = w.x)"
+#: Least numbers of hops; a way without repeated names has fewer hops than there are names.
+_LEVELS_SQL = _REACH_SQL + """, z AS (SELECT count(*) AS n FROM (SELECT src FROM e UNION SELECT dst FROM e)),
+  v(s, x, level) AS (SELECT src, dst, 1 FROM e UNION SELECT v.s, e.dst, v.level + 1 FROM v JOIN e ON e.src = v.x, z WHERE v.level < z.n), lv AS (SELECT s, x, min(level) AS level FROM v GROUP BY 1, 2)"""
 
 
 @Q("children_direct", f"WITH {EDGES_SQL} SELECT src AS start, dst AS node FROM e")
@@ -44,68 +46,39 @@ def parents_direct(spark: SparkSession, d: str) -> DataFrame:
     return graph.direct(e, e.select(F.col("src").alias("start")))
 
 
-@Q("descendants", f"{_REACH_SQL} SELECT s AS start, x AS node, min(level) AS level FROM w GROUP BY 1, 2")
+@Q("descendants", f"{_LEVELS_SQL} SELECT s AS start, x AS node, level FROM lv")
 def descendants(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reach(edges(spark, d), sources(spark, d))
-
-
-@Q("ancestors", f"""WITH RECURSIVE {EDGES_SQL}, w(s, x) AS (SELECT dst, src FROM e WHERE dst LIKE 'test.%' UNION SELECT w.s, e.src FROM w JOIN e ON e.dst = w.x) SELECT s AS start, x AS node FROM w""")
-def ancestors(spark: SparkSession, d: str) -> DataFrame:
-    up = graph.reverse(edges(spark, d))
-    return graph.reach(up, up.select(F.col("src").alias("start")).where(F.col("start").startswith("test."))).select("start", "node")
-
-
-@Q("downstream_models", f"{_REACH_SQL}, {NODES_SQL} SELECT s AS start, x AS model, min(level) AS level FROM w WHERE x LIKE 'model.%' AND x IN (SELECT unique_id FROM n) GROUP BY 1, 2".replace(f", {NODES_SQL}", "").replace("WITH RECURSIVE ", f"WITH RECURSIVE {NODES_SQL}, "))
-def downstream_models(spark: SparkSession, d: str) -> DataFrame:
-    return graph.downstream_models(edges(spark, d), sources(spark, d), known(spark, d))
-
-
-@Q("relation_edges", f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, k AS (SELECT unique_id FROM n UNION SELECT unique_id FROM manifest_sources), l AS (SELECT * FROM e WHERE dst NOT LIKE 'test.%' AND dst IN (SELECT unique_id FROM k)),
-  w(s, x) AS (SELECT src, dst FROM l WHERE src LIKE 'source.%' UNION SELECT w.s, l.dst FROM w JOIN l ON l.src = w.x), a AS (SELECT * FROM w UNION SELECT src, src FROM l WHERE src LIKE 'source.%')
-  SELECT a.s AS start, l.src, l.dst FROM a JOIN l ON l.src = a.x""")
-def relation_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.relation_edges(edges(spark, d), known(spark, d), sources(spark, d))
-
-
-def every_start(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("start")).distinct()
-
-
-_REACH_ALL_SQL = _REACH_SQL.replace(" WHERE src LIKE 'source.%'", "")
-
-
-@Q("descendants_all", f"{_REACH_ALL_SQL} SELECT s AS start, x AS node, min(level) AS level FROM w GROUP BY 1, 2")
-def descendants_all(spark: SparkSession, d: str) -> DataFrame:
-    """As descendants, from every name that has children."""
+    """What lies below every name that has children, with the least number of hops."""
     e = edges(spark, d)
     return graph.reach(e, every_start(e))
 
 
-@Q("ancestors_all", f"WITH RECURSIVE {EDGES_SQL}, w(s, x) AS (SELECT dst, src FROM e UNION SELECT w.s, e.src FROM w JOIN e ON e.dst = w.x) SELECT s AS start, x AS node FROM w")
-def ancestors_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ancestors, from every name that has parents."""
+@Q("ancestors", f"{_REACH_SQL} SELECT x AS start, s AS node FROM w")
+def ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """What lies above every name that has parents."""
     up = graph.reverse(edges(spark, d))
     return graph.reach(up, every_start(up)).select("start", "node")
 
 
-@Q("downstream_models_all", f"{_REACH_ALL_SQL}, {NODES_SQL} SELECT s AS start, x AS model, min(level) AS level FROM w WHERE x LIKE 'model.%' AND (x IN (SELECT unique_id FROM n) OR x IN (SELECT unique_id FROM manifest_sources)) GROUP BY 1, 2")
-def downstream_models_all(spark: SparkSession, d: str) -> DataFrame:
-    """As downstream_models, from every name that has children."""
+@Q("downstream_models", f"{_LEVELS_SQL}, {NODES_SQL} SELECT s AS start, x AS model, level FROM lv WHERE x LIKE 'model.%' AND (x IN (SELECT unique_id FROM n) OR x IN (SELECT unique_id FROM manifest_sources))")
+def downstream_models(spark: SparkSession, d: str) -> DataFrame:
+    """Known models below every name that has children."""
     e = edges(spark, d)
     return graph.downstream_models(e, every_start(e), known(spark, d))
 
 
-@Q("relation_edges_all", f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, k AS (SELECT unique_id FROM n UNION SELECT unique_id FROM manifest_sources), l AS (SELECT * FROM e WHERE dst NOT LIKE 'test.%' AND dst IN (SELECT unique_id FROM k)),
+@Q("relation_edges", f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, k AS (SELECT unique_id FROM n UNION SELECT unique_id FROM manifest_sources), l AS (SELECT * FROM e WHERE dst NOT LIKE 'test.%' AND dst IN (SELECT unique_id FROM k)),
   w(s, x) AS (SELECT src, src FROM l UNION SELECT w.s, l.dst FROM w JOIN l ON l.src = w.x) SELECT w.s AS start, l.src, l.dst FROM w JOIN l ON l.src = w.x""")
-def relation_edges_all(spark: SparkSession, d: str) -> DataFrame:
-    """As relation_edges, from every name that has children."""
+def relation_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Links that the relation tree of every name lists."""
     e = edges(spark, d)
     return graph.relation_edges(e, known(spark, d), every_start(e))
 
 
 @Q("topo_levels", f"""WITH RECURSIVE {EDGES_SQL}, x AS (SELECT src AS x FROM e UNION SELECT dst FROM e), anc(x, a) AS (SELECT dst, src FROM e UNION SELECT anc.x, e.src FROM anc JOIN e ON e.dst = anc.a),
   bad AS (SELECT DISTINCT a.x FROM anc a JOIN (SELECT x FROM anc WHERE x = a) l ON a.a = l.x), f AS (SELECT * FROM e WHERE dst NOT IN (SELECT x FROM bad) AND src NOT IN (SELECT x FROM bad)),
-  lv(x, level) AS (SELECT x, 0 FROM x WHERE x NOT IN (SELECT x FROM bad) AND x NOT IN (SELECT dst FROM e) UNION SELECT f.dst, lv.level + 1 FROM lv JOIN f ON f.src = lv.x) SELECT x, max(level) AS level FROM lv GROUP BY 1""")
+  lv(x, level) AS (SELECT x, 0 FROM x WHERE x NOT IN (SELECT x FROM bad) AND x NOT IN (SELECT dst FROM e) UNION SELECT f.dst, lv.level + 1 FROM lv JOIN f ON f.src = lv.x), q AS (SELECT x, max(level) AS level FROM lv GROUP BY 1)
+  SELECT * FROM q UNION ALL SELECT x, (SELECT coalesce(max(level), 0) + 1 FROM q) FROM (SELECT x FROM bad UNION SELECT x FROM anc WHERE x = a)""")
 def topo_levels(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
     return advisors.topological_levels(e, e.select(F.col("src").alias("x")).union(e.select("dst")).distinct())
@@ -330,21 +303,10 @@ def dax_refs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.array_join(bi.dax_references("expression"), ",").alias("refs"))
 
 
-@Q("query_closure", f"""WITH RECURSIVE {EDGES_SQL}, q(s, x) AS (SELECT src, src FROM e WHERE src LIKE 'source.%' UNION SELECT q.s, e.dst FROM q JOIN e ON e.src = q.x AND e.dst NOT LIKE 'test.%')
-  SELECT DISTINCT 'all' AS dataset, s AS query, regexp_extract(x, '([^.]*)$', 1) AS table_name FROM q WHERE s IN (SELECT src FROM e)""".replace("WHERE src LIKE 'source.%'", "WHERE src LIKE 'source.%'"))
-def query_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Names that each source's tree reads, through the names below it; the graph stands in for query references."""
-    e = edges(spark, d).where(~F.col("dst").startswith("test."))
-    every = edges(spark, d)
-    names = every.select("src").union(e.select("dst")).distinct().select(F.lit("all").alias("dataset"), F.col("src").alias("query"), select.short_name("src").alias("table_name"))
-    starts = names.where(F.col("query").startswith("source."))
-    return graph.query_closure(e.select(F.lit("all").alias("dataset"), F.col("src").alias("query"), F.col("dst").alias("other")), names).join(starts.select("query"), "query", "left_semi").select("dataset", "query", "table_name")
-
-
-@Q("query_closure_all", f"""WITH RECURSIVE {EDGES_SQL}, q(s, x) AS (SELECT x, x FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) UNION SELECT q.s, e.dst FROM q JOIN e ON e.src = q.x AND e.dst NOT LIKE 'test.%')
+@Q("query_closure", f"""WITH RECURSIVE {EDGES_SQL}, q(s, x) AS (SELECT x, x FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) UNION SELECT q.s, e.dst FROM q JOIN e ON e.src = q.x AND e.dst NOT LIKE 'test.%')
   SELECT DISTINCT 'all' AS dataset, s AS query, regexp_extract(x, '([^.]*)$', 1) AS table_name FROM q""")
-def query_closure_all(spark: SparkSession, d: str) -> DataFrame:
-    """As query_closure, from every name of the graph."""
+def query_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Names that each name reads, through the names below it; the graph stands in for query references."""
     every = edges(spark, d)
     e = every.where(~F.col("dst").startswith("test."))
     names = every.select("src").union(every.select("dst")).distinct().select(F.lit("all").alias("dataset"), F.col("src").alias("query"), select.short_name("src").alias("table_name"))

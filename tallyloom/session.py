@@ -1,20 +1,18 @@
-"""Session helpers: a local session for tests and benches, and lineage cutting."""
+"""Session helpers: a local session for tests and benches, cutting of lineage, and rounds of joins."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-
-#: Loops over frames of up to this many rows are planned once, without re-planning at
-#: every shuffle: their frames are small and a driver would be busy with planning alone.
-PLAN_ONCE = 5_000_000
-#: Loops that cut many frames make the driver collect garbage after this many.
-CUTS_PER_SWEEP = 10
-_cuts = 0
+#: A key with more than 1/HOT_SHARE of all rows is hot; fewer than HOT_SHARE keys can be.
+HOT_SHARE = 200
+#: Rows a task of a round has at least, while there are fewer tasks than the session's
+#: usual number, and at most.
+LEAST_ROWS, MOST_ROWS = 50_000, 2_000_000
 
 
 def local_session(cores: int = 8, app: str = "tallyloom", memory: str = "12g") -> SparkSession:
@@ -54,33 +52,86 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
-    global _cuts
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _cuts += 1
-    if _cuts % CUTS_PER_SWEEP == 0:
-        # files of frames no longer used are only removed after the driver collects garbage
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
+
+
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, which is counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, int(seen.get["n"])
+
 
+@dataclass
+class Kept:
+    """A frame of a round that was cut: ``n`` rows, ``facts`` counted on the way, ``hot`` keys."""
 
-def unsized(df: DataFrame) -> DataFrame:
-    """``df``, which should be cut, without its size estimate.
+    df: DataFrame
+    n: int
+    facts: dict[str, int] = field(default_factory=dict)
+    hot: list[str] = field(default_factory=list)
+    hot_too: list[str] = field(default_factory=list)
+
+
+class Rounds:
+    """A session of its own for rounds of joins over frames that are cut each round.
+
+    The number of tasks follows the rows of the frames, so plans are made once and not
+    again at every shuffle; the caller's session keeps its settings. Rows, facts and hot
+    keys are counted while a frame is written, at no further job.
+    """
 
-    Estimates are multiplied at joins and survive a cut; after some rounds of self-joins
-    they have so many digits that the driver is busy with planning alone.
+    def __init__(self, spark: SparkSession, rows: int) -> None:
+        ensure_checkpoint_dir(spark)
+        self.outer = spark
+        self.usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+        self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+        self.sized(rows)
+
+    def sized(self, rows: int) -> None:
+        """Tasks for frames of this many rows from now on."""
+        self.tasks = max(1, min(self.usual, -(-rows // LEAST_ROWS)), -(-rows // MOST_ROWS))
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.tasks))
+
+    def _bound(self, df: DataFrame, spark: SparkSession) -> DataFrame:
+        # a frame over the written rows, without the size estimates of the plan that made it:
+        # those are multiplied at joins and have thousands of digits after some rounds
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+    def cut(self, df: DataFrame, hot: str | None = None, hot_too: str | None = None, **facts: Column) -> Kept:
+        """Writes ``df``; ``facts`` are aggregates over it, ``hot`` (``hot_too``) is SQL for a key whose hot values are wanted."""
+        seen = Observation()
+        asked = {"_n": F.count(F.lit(1)), **facts}
+        for name, key in (("_hot", hot), ("_hot_too", hot_too)):
+            if key:
+                asked[name] = F.expr(f"approx_top_k({key}, {HOT_SHARE}, {20 * HOT_SHARE})")
+        out = df.observe(seen, *[a.alias(k) for k, a in asked.items()]).checkpoint(eager=True)
+        got = seen.get
+        n = int(got["_n"])
+        keys = [[r[0] for r in got.get(k) or [] if r[0] is not None and r[1] * HOT_SHARE > n] for k in ("_hot", "_hot_too")]
+        return Kept(self._bound(out, self.spark), n, {k: int(got[k] or 0) for k in facts}, *keys)
+
+    def enter(self, df: DataFrame, **facts: Column) -> Kept:
+        """Cut of a frame of the caller's session, planned there."""
+        kept = self.cut(df, **facts)
+        self.sized(max(kept.n, 1))
+        return kept
+
+    def leave(self, kept: Kept) -> DataFrame:
+        """The frame for the caller's session."""
+        return self._bound(kept.df, self.outer)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` (unique in ``key``), of whose keys those in ``hot`` hold much of ``left``.
+
+    Their rows meet a broadcast of as many rows of ``right`` as there are hot keys (fewer
+    than HOT_SHARE) and are not shuffled; all other rows are joined as usual.
     """
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
-
-
-@contextmanager
-def planned_once(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Adaptive planning off while ``rows`` are few; set back afterwards."""
-    was = spark.conf.get("spark.sql.adaptive.enabled")
-    if rows <= PLAN_ONCE:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", was)
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    spread = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
+    return spread.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))

@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import json_core, sql_core, strict_variant
-from tallyloom.operators.hierarchy import hierarchy, join_hot, paths
+from tallyloom.operators import hierarchy as h
+from tallyloom.operators.hierarchy import Hierarchy
 from tallyloom.operators.hotkeys import key_totals, latest_versions, list_totals
 from tallyloom.operators.rolling import trailing_totals
 from tallyloom.operators.shredding import Edge, SchemaGraph, Shredder, latest_rows
 from tallyloom.operators.snapshots import leaf_bits_for, snapshot_changes
 from tallyloom.queries import general
+from tallyloom.session import Rounds, join_hot
 
 
 def got(df):
@@ -77,26 +79,58 @@ def test_hierarchy_shapes(spark):
         ("l1", ["l2"], ""), ("l2", ["l3", "below"], ""), ("l3", ["l1"], ""), ("r", ["l1"], ""), ("self", ["self", "under"], ""), ("under", ["deep"], ""),
         ("x1", ["x2"], ""), ("x2", ["x1", "y1"], ""), ("y1", ["y2"], ""), ("y2", ["y1"], ""),
     ]
-    made = hierarchy(tree(spark, rows), "p", "c")
-    status = dict(got(made["status"]))
+    made = Hierarchy(tree(spark, rows), "p", "c")
+    status = dict(got(made.status))
     assert status == {k: "cycle" for k in ("l1", "l2", "l3", "self", "x1", "x2", "y1", "y2")} | {k: "below_cycle" for k in ("below", "under", "deep")}
-    out = {r["x"]: r for r in paths(made["names"], made["chains"]).collect()}
+    out = {r["x"]: r for r in made.paths().collect()}
     assert out["f"]["path"] == ["r", "a", "c", "d", "f"] and out["f"]["depth"] == 4 and out["f"]["root_id"] == "r"
-    assert out["lone"]["path"] == ["lone"] and out["lone"]["n_descendants"] == 0
-    assert out["r"]["n_descendants"] == 6
-    for x, r in out.items():
+    assert out["lone"]["path"] == ["lone"] and out["lone"]["size"] == 1
+    assert out["r"]["size"] == 7
+    assert {x: (r["root_id"], r["depth"]) for x, r in out.items()} == {r[0]: (r[1], r[2]) for r in got(made.depths())}
+    numbered = {r["x"]: r for r in made.intervals().collect()}
+    for x, r in numbered.items():
         below = {y for y, s in out.items() if x in s["path"][:-1]}
-        assert {y for y, s in out.items() if s["root_id"] == r["root_id"] and r["first"] < s["first"] <= r["last"]} == below
-    empty = hierarchy(tree(spark, []), "p", "c")
-    assert got(empty["status"]) == [] and got(empty["names"]) == []
+        assert {y for y, s in numbered.items() if s["root_id"] == r["root_id"] and r["first"] < s["first"] <= r["last"]} == below
+    empty = Hierarchy(tree(spark, []), "p", "c")
+    assert got(empty.status) == [] and got(empty.paths()) == [] and got(empty.depths()) == [] and got(empty.intervals()) == []
 
 
 def test_deep_chain_and_wide_parent(spark):
     rows = [(f"n{i:03}", [f"n{i + 1:03}"], "") for i in range(130)] + [("n000", [f"w{i}" for i in range(300)], "")]
-    made = hierarchy(tree(spark, rows), "p", "c")
-    out = {r["x"]: r for r in paths(made["names"], made["chains"]).collect()}
+    made = Hierarchy(tree(spark, rows), "p", "c")
+    out = {r["x"]: r for r in made.paths().collect()}
     assert out["n130"]["depth"] == 130 and out["n130"]["path"] == [f"n{i:03}" for i in range(131)]
-    assert out["n000"]["n_descendants"] == 430 and len({r["first"] for r in out.values()}) == 431
+    assert out["n000"]["size"] == 431 and len({r["first"] for r in made.intervals().collect()}) == 431
+
+
+def ladder(levels):
+    """Two names a level, each with both names of the next level as children."""
+    return [(f"n{i:02}{s}", [f"n{i + 1:02}a", f"n{i + 1:02}b"], "") for i in range(levels - 1) for s in "ab"]
+
+
+@pytest.mark.parametrize("room", [16, 0])
+def test_ladders(spark, monkeypatch, room):
+    """Names with several parents only: every link counts, and rounds grow with the logarithm of the depth."""
+    cuts = []
+    plain = Rounds.cut
+    monkeypatch.setattr(Rounds, "cut", lambda self, *a, **k: cuts.append(1) or plain(self, *a, **k))
+    monkeypatch.setattr(h, "PAIRS_PER_LINK", room)
+    monkeypatch.setattr(h, "PAIRS_MORE", 10_000 if room else 0)
+    used = {}
+    for n in (6, 24) if room else (6,):
+        cuts.clear()
+        made = Hierarchy(tree(spark, ladder(n)), "p", "c")
+        assert got(made.status) == [] and {r["depth"] for r in made.depths().collect()} == set(range(n))
+        used[n] = len(cuts)
+    if room:
+        assert used[24] <= used[6] + 12
+        return
+    below = made.paths()
+    tree_links = h.tree_pairs(below)
+    pairs = set(got(tree_links.where("x <> descendant"))) | set(got(made.pairs(tree_links)))
+    assert sum(x == "n00b" for x, _ in pairs) == 10
+    looped = Hierarchy(tree(spark, [*ladder(4), ("n03b", ["n01a", "z"], ""), ("z", ["z1"], "")]), "p", "c")
+    assert dict(got(looped.status)) == {f"n0{i}{s}": "cycle" for i in (1, 2, 3) for s in "ab" if (i, s) not in ((1, "b"), (3, "a"))} | {"n03a": "below_cycle", "z": "below_cycle", "z1": "below_cycle"}
 
 
 def test_descendants_beside_the_tree(spark, tmp_path):
@@ -124,9 +158,12 @@ def test_descendants_beside_the_tree(spark, tmp_path):
 
 
 def test_join_hot(spark):
-    left = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
-    right = spark.range(300_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert join_hot(left, right, "k").agg(F.count(F.lit(1)), F.sum("v")).first() == left.join(right, "k").agg(F.count(F.lit(1)), F.sum("v")).first()
+    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    right = spark.range(30_000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
+    kept = Rounds(spark, 20_000).cut(left, hot="k")
+    assert kept.hot == ["7"] and kept.n == 20_000
+    sums = lambda df: df.agg(F.count(F.lit(1)), F.sum("v")).first()
+    assert sums(join_hot(kept.df, right, "k", kept.hot)) == sums(join_hot(left, right, "k", [])) == sums(left.join(right, "k"))
 
 
 def test_totals(spark):
