@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import queries
-from tallyloom.llm.truncation import DECIDE, cut_texts, length_limits, score_truncation, truncation_shares
+from tallyloom.llm.truncation import DECIDE, cut_texts, endings, gap_of, length_limits, score_truncation, truncation_shares, word_counts, words_of, _slot
 
 PARTS = ["the old valve in the cellar", "my neighbour", "a second hand lens", "the seller from the market", "this narrow bench"], ["sold", "cleaned", "repaired", "forgot to measure", "replaced"], ["the rusty hinge last week", "every second gasket", "our kettle before winter", "two of the heavy ladders"]
 
@@ -35,9 +35,24 @@ def posts(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, cut boolean")
 
 
-def test_limits(posts):
-    assert {(r["source"], r["cap"]) for r in length_limits(posts, "source", "text").collect()} == {("limited", 300), ("bytes", 240)}
-    assert length_limits(posts.limit(0), "source", "text").count() == 0
+def read(df):
+    return endings(df.select(F.col("doc_id").alias("key"), "source", "text"))
+
+
+def test_limits(spark, posts):
+    assert {(r["source"], r["cap"]) for r in length_limits(read(posts)).collect()} == {("limited", 300), ("bytes", 240)}
+    assert length_limits(read(posts.limit(0))).count() == 0
+    # a source that changed its limit has both
+    rng = random.Random(4)
+    made = [(i, post(rng, 700)[: (120, 500)[i % 2]] if i % 3 else post(rng, rng.randint(30, 600)), "moved") for i in range(600)]
+    assert {r["cap"] for r in length_limits(read(spark.createDataFrame(made, "doc_id long, text string, source string"))).collect()} == {120, 500}
+    assert [gap_of(n, n, [("chars", 120), ("bytes", 500)]) for n in (80, 118, 121, 130, 499, 900)] == ["below", "near", "at", "below", "near", "over"]
+
+
+def test_word_counts(posts):
+    counts = word_counts(read(posts))
+    texts = [r[0] for r in posts.select("text").collect()]
+    assert counts[_slot("valve")] == sum("valve" in words_of(t)[:-1] for t in texts)
 
 
 def test_held_out_accuracy(posts):
