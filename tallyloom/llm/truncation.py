@@ -36,8 +36,8 @@ MOST_ENDED = 0.4
 MOST = 15.0
 #: A group's share of cut texts leans toward that of all sources like this many texts.
 LEAN = 300.0
-#: Least probability of a reported text. The shares err on the low side, hence below 0.5.
-DECIDE = 0.25
+#: Least probability of a reported text. The shares err on the low side (most texts above it are plainly cut), hence below 0.5.
+DECIDE = 0.15
 #: Characters before the end that the closing features look at; open markup and lengths
 #: are taken from the whole text.
 TAIL = 240
@@ -54,6 +54,7 @@ _ENDED = re.compile(r"[.!?]['\")\]]*\s*$")
 _SENTENCE_END = re.compile(r"[^\W\d_]{2,}(?P<stop>[.!?]+)(?=\s|$)")
 _BREAK = re.compile(r"[.!?]\s|\n")
 _PARTIAL = re.compile(r"(<[^<>]{0,80}|\[/?[a-z]*(=[^\]]{0,80})?|&[a-z#0-9]{0,7}|https?:/{0,2})$")
+_WORDLY = re.compile(r"[^\W_]|[<\[&]")
 _AGAIN = re.compile(r"(.)\1+")
 # fixed values: elements of forum markup that come in pairs
 _PAIRS = frozenset(("quote", "code", "b", "i", "u", "size", "img", "blockquote", "small", "pre", "p", "div", "span", "em", "strong", "a", "url"))
@@ -117,7 +118,9 @@ class Ending:
         line = body.rsplit("\n", 1)[-1]
         run = _BREAK.split(body)[-1]
         n_run = len(_WORD.findall(run))
-        stopped = self.close = "stop" if body[-1:] in _STOP and body else "word" if is_word else "other"
+        # a closing line without letters or digits lies in no word, sentence or piece of markup
+        signs = not mark and line.strip() != "" and not _WORDLY.search(line)
+        stopped = self.close = "signs" if signs else "stop" if body[-1:] in _STOP and body else "word" if is_word else "other"
         inside = _open_markup(text)
         first = (words_of(line[:80]) + ["", ""])[:2]
         start = run[:1]
@@ -313,7 +316,8 @@ def _limit_list(limits: object) -> list[tuple[str, int]]:
 def score_truncation(docs: DataFrame, key: str, text: str, source: str, sample: int = SAMPLE_TEXTS) -> DataFrame:
     """(key, source, score): the probability that a text is only the beginning of what was written.
 
-    Null, empty and blank texts get score 0; repeated rows are scored alike; other columns
+    Null, empty and blank texts get score 0, and so do texts that close with a line of
+    signs alone, which is inside no word, sentence or markup; repeated rows are scored alike; other columns
     are ignored. Limits and word counts come from all rows; the model is fitted on the
     artificial cuts of at most ``sample`` texts.
     """
@@ -355,14 +359,14 @@ def score_truncation(docs: DataFrame, key: str, text: str, source: str, sample:
                 gap = gap_of(chars, n_bytes, _limit_list(found))
                 w = weights.value[int(h) & 1]
                 z[i] = min(max(float(w[x].sum() + w[asked_features(gap, mark, close, word, size, counts.value)].sum()), -MOST), MOST)
-                zones[i] = "limit" if gap in ("at", "near", "word") else "far"
+                zones[i] = "signs" if close == "signs" else "limit" if gap in ("at", "near", "word") else "far"
             yield pd.DataFrame({"key": b["key"], "source": b["source"], "h": b["h"], "zone": zones, "z": z})
 
     kind = dict(docs.dtypes)["key"]
     scored = cut(meet(read.where("close <> 'counts'").drop("slots", "slot_n"), limits, ["source"]).mapInPandas(score, f"key {kind}, source string, h long, zone string, z double"))
     made = float(lessons["label"].mean()) if len(lessons) else 0.5
     adjusted = meet(scored, prior_offsets(scored, made), ["source", "zone"])
-    return adjusted.select("key", "source", F.when(F.col("zone") == "blank", 0.0).otherwise(1 / (1 + F.exp(-(F.col("z") + F.coalesce("shift", F.lit(0.0)))))).alias("score"))
+    return adjusted.select("key", "source", F.when(F.col("zone").isin("blank", "signs"), 0.0).otherwise(1 / (1 + F.exp(-(F.col("z") + F.coalesce("shift", F.lit(0.0)))))).alias("score"))
 
 
 def _share(z: np.ndarray, n: np.ndarray, made: float, strength: float, toward: float) -> float:
@@ -383,7 +387,7 @@ def prior_offsets(scored: DataFrame, made: float) -> DataFrame:
     few hundred rows; small groups lean toward the share of all sources.
     """
     made = min(max(made, 1e-5), 1 - 1e-5)
-    bins = scored.where("zone <> 'blank'").groupBy("source", "zone", F.round(F.col("z") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = scored.where("zone NOT IN ('blank', 'signs')").groupBy("source", "zone", F.round(F.col("z") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     bins = cut(bins)
     overall = {
         zone: _share(part["bin"].to_numpy() / 8, part["n"].to_numpy(), made, 1.0, 0.5)
