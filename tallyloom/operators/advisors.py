@@ -13,8 +13,9 @@ from tallyloom.session import Kept, Rounds
 NOT_CLUSTERABLE = ("STRUCT", "ARRAY", "GEOGRAPHY", "JSON")
 TIME_TYPES = ("TIMESTAMP", "DATE", "DATETIME")
 INTEGER_TYPES = ("INT64", "INTEGER", "INT", "BIGINT")
-#: Functions around a time column that still let partitions be skipped.
+# fixed values: functions around a time column that still let partitions be skipped
 PRUNING_WRAPS = ("date", "timestamp", "datetime", "timestamptrunc", "datetimetrunc", "datetrunc", "timetrunc")
+# fixed values: materializations that are built incrementally
 INCREMENTAL = ("incremental", "materialized_view")
 
 
@@ -79,6 +80,30 @@ def cluster_reasons() -> Column:
     )), "; ")
 
 
+def matches_current(recommended: DataFrame, current: DataFrame) -> DataFrame:
+    """(target, recommended, current, matches): whether a target already has exactly the recommended columns.
+
+    ``recommended`` (target, column) and ``current`` (target, columns); order and case don't
+    count, and two empty lists don't match.
+    """
+    low = lambda c: F.array_sort(F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)))
+    wanted = recommended.groupBy("target").agg(F.collect_set("column").alias("_w"))
+    rows = wanted.join(current.select("target", "columns"), "target", "left").select("target", low(F.col("_w")).alias("recommended"), low(F.col("columns")).alias("current"))
+    return rows.withColumn("matches", (F.size("current") > 0) & (F.col("recommended") == F.col("current")))
+
+
+#: Counters of filters that let partitions be skipped, and their operators.
+_PARTITION_KINDS = {"n_between": ("between",), "n_range": ("gt", "ge", "lt", "le"), "n_eq": ("eq",), "n_in": ("in",)}
+
+
+def partition_reasons() -> Column:
+    """One phrase for each counter above 0, in fixed order."""
+    return F.array_join(F.array_compact(F.array(
+        counted("n_between", "BETWEEN filter", "BETWEEN filters"), counted("n_range", "range filter", "range filters"), counted("n_eq", "equality filter", "equality filters"),
+        counted("n_in", "IN filter", "IN filters"), counted("n_wrapped", "filter whose function defeats pruning", "filters whose functions defeat pruning"),
+    )), "; ")
+
+
 def partition_scores(events: DataFrame, columns: DataFrame) -> DataFrame:
     """(target, column, data_type, score, granularity, ...) for time and integer columns in WHERE.
 
@@ -91,12 +116,15 @@ def partition_scores(events: DataFrame, columns: DataFrame) -> DataFrame:
     defeated = (op == "fn") | ((F.col("wrapping_fn") != "") & ~F.col("wrapping_fn").isin(*PRUNING_WRAPS))
     tenths = F.when(defeated, 0).when(op == "between", 30).when(op.isin("gt", "ge", "lt", "le"), 25).when(op == "eq", 20).when(op == "in", 15)
     per_model = typed.withColumn("_p", tenths).where("_p IS NOT NULL").withColumn("_fn", defeated).groupBy("target", "column", "base", "downstream_model").agg(
-        F.sum("_p").alias("_p"), F.count_if(~F.col("_fn")).alias("_good"), F.count_if("_fn").alias("n_wrapped")
+        F.sum("_p").alias("_p"), F.count_if(~F.col("_fn")).alias("_good"), F.count_if("_fn").alias("n_wrapped"),
+        *[F.count_if(~F.col("_fn") & op.isin(*ops)).alias(n) for n, ops in _PARTITION_KINDS.items()],
+    )
+    sums = per_model.groupBy("target", "column", "base").agg(
+        F.sum("_p").alias("_p"), F.count_if(F.col("_good") > 0).alias("n_models"), F.sum("n_wrapped").alias("n_wrapped"), *[F.sum(n).alias(n) for n in _PARTITION_KINDS]
     )
-    sums = per_model.groupBy("target", "column", "base").agg(F.sum("_p").alias("_p"), F.count_if(F.col("_good") > 0).alias("n_models"), F.sum("n_wrapped").alias("n_wrapped"))
     bonus = F.when(F.col("base").isin("TIMESTAMP", "DATE"), 1.5).when(F.col("base") == "DATETIME", 1.3).otherwise(1.0)
     return sums.select(
-        "target", "column", F.col("base").alias("data_type"), F.round(_scaled(F.col("_p") / 10 * bonus, F.col("n_models")), 2).alias("score"), "n_models", "n_wrapped",
+        "target", "column", F.col("base").alias("data_type"), F.round(_scaled(F.col("_p") / 10 * bonus, F.col("n_models")), 2).alias("score"), "n_models", "n_wrapped", *_PARTITION_KINDS,
         F.when(F.col("base").isin(*TIME_TYPES), "DAY").otherwise("RANGE_BUCKET").alias("granularity"),
     )
 
@@ -234,8 +262,8 @@ def downstream_alignment(children: DataFrame) -> DataFrame:
     that hits neither makes the child SUBOPTIMAL, or POOR if the root has no layout at all.
     """
     none = F.array().cast("array<string>")
-    layout = F.array_compact(F.concat(F.array("root_partition"), F.coalesce("root_clusters", none)))
-    missed = F.array_except(F.slice(F.coalesce("filters", none), 1, 5), layout)
+    layout = F.transform(F.array_compact(F.concat(F.array("root_partition"), F.coalesce("root_clusters", none))), F.lower)
+    missed = F.filter(F.slice(F.coalesce("filters", none), 1, 5), lambda c: ~F.array_contains(layout, F.lower(c)))
     return children.select("root", "model", F.when(F.size(missed) == 0, "GOOD").when(F.size(layout) == 0, "POOR").otherwise("SUBOPTIMAL").alias("alignment"), missed.alias("missed"))
 
 
@@ -245,7 +273,8 @@ def upstream_alignment(parents: DataFrame) -> DataFrame:
     Columns: root, model, materialized, has_partition, layout (array), root_has_partition, root_filters (array).
     """
     first = F.slice(F.coalesce("root_filters", F.array().cast("array<string>")), 1, 3)
-    short = F.size(F.array_except(first, F.coalesce("layout", F.array().cast("array<string>")))) > 0
+    layout = F.transform(F.coalesce("layout", F.array().cast("array<string>")), F.lower)
+    short = F.exists(first, lambda c: ~F.array_contains(layout, F.lower(c)))
     return parents.select("root", "model", F.when(F.coalesce("materialized", F.lit("view")) == "view", "N/A").when(F.col("root_has_partition") & ~F.coalesce("has_partition", F.lit(False)), "HIGH").when(short, "MEDIUM").otherwise("ALIGNED").alias("alignment"))
 
 
@@ -253,3 +282,60 @@ def common_filters(children: DataFrame, most: int, least: int) -> DataFrame:
     """(root, column, n_models): columns that at least ``least`` children filter on, the ``most`` commonest; ties by name."""
     counts = children.select("root", "model", F.explode("filters").alias("column")).distinct().groupBy("root", "column").agg(F.count(F.lit(1)).alias("n_models")).where(F.col("n_models") >= least)
     return counts.withColumn("rank_no", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("n_models"), "column"))).where(F.col("rank_no") <= most)
+
+
+def branch_recommendations(upstream: DataFrame, downstream: DataFrame, layout: DataFrame, most: int = 2, least: int = 2) -> DataFrame:
+    """(root, kind, subject, n_models, priority): what to change around a model.
+
+    ``upstream`` (root, model, alignment), ``downstream`` (root, model, alignment, filters),
+    ``layout`` (root, root_partition, root_clusters). Parents of HIGH alignment get a
+    partition; the ``most`` commonest columns that at least ``least`` poorly aligned children
+    filter on, beyond the root's layout, become cluster keys; the commonest filter of all
+    children partitions a root without partition. Ties go by name.
+    """
+    none = F.array().cast("array<string>")
+    low = lambda c: F.transform(F.coalesce(c, none), F.lower)
+    own = layout.select("root", F.lower("root_partition").alias("_p"), low(F.col("root_clusters")).alias("_c"))
+    parents = upstream.where("alignment = 'HIGH'").select("root", F.lit("upstream_partition").alias("kind"), F.col("model").alias("subject"), F.lit(None).cast("long").alias("n_models"), F.lit("HIGH").alias("priority")).distinct()
+    used = downstream.select("root", "model", "alignment", F.explode(F.slice(F.coalesce("filters", none), 1, 5)).alias("subject")).distinct().join(own, "root")
+    counts = lambda rows: rows.groupBy("root", "subject").agg(F.count_distinct("model").alias("n_models")).where(F.col("n_models") >= least)
+    first = lambda rows, n: rows.withColumn("_i", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("n_models"), "subject"))).where(F.col("_i") <= n)
+    name = F.lower("subject")
+    missing = used.where("alignment IN ('POOR', 'SUBOPTIMAL')").where(~F.coalesce(name == F.col("_p"), F.lit(False)) & ~F.array_contains("_c", name))
+    clusters = first(counts(missing), most).select("root", F.lit("add_clustering").alias("kind"), "subject", "n_models", F.lit("MEDIUM").alias("priority"))
+    parts = first(counts(used.where("_p IS NULL")), 1).select("root", F.lit("add_partition").alias("kind"), "subject", "n_models", F.lit("HIGH").alias("priority"))
+    return parents.unionByName(clusters).unionByName(parts)
+
+
+def refresh_summary(plan: DataFrame) -> DataFrame:
+    """(bucket, n_models, models): models of each bucket, sorted and joined by spaces."""
+    return plan.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_models"), F.array_join(F.array_sort(F.collect_list("model")), " ").alias("models"))
+
+
+def refresh_commands(plan: DataFrame, program: str = "dbt") -> DataFrame:
+    """(bucket, command): one command for each bucket that is to be built."""
+    flag = F.when(F.col("bucket") == "full", " --full-refresh").otherwise("")
+    return refresh_summary(plan).where("bucket <> 'skip'").select("bucket", F.concat(F.lit(f"{program} run"), flag, F.lit(" --select "), "models").alias("command"))
+
+
+def parse_columns(specs: list[str]) -> dict[str, set[str]]:
+    """Columns by model of ``MODEL:c1,c2`` texts, lower-case; repeated models are united, an empty list stays empty."""
+    out: dict[str, set[str]] = {}
+    for spec in specs:
+        model, colon, names = spec.partition(":")
+        if not colon or not model.strip():
+            raise ValueError(f"{spec!r} is not MODEL:column,column")
+        out.setdefault(model.strip(), set()).update(n.strip().lower() for n in names.split(",") if n.strip())
+    return out
+
+
+def narrowed(changed: DataFrame, specs: dict[str, set[str]]) -> DataFrame:
+    """``changed`` (model, column) with whole-model changes of the named models replaced by their columns."""
+    rows = [(m, c) for m, cs in specs.items() for c in sorted(cs)]
+    named = changed.sparkSession.createDataFrame(rows, "model string, column string")
+    return changed.where(~F.col("model").isin(list(specs))).select("model", "column").unionByName(named).distinct()
+
+
+def missing_models(requested: DataFrame, known: DataFrame) -> DataFrame:
+    """(name): requested names that no model has."""
+    return requested.select("name").distinct().join(known.select("name"), "name", "left_anti")

@@ -86,6 +86,57 @@ def relation_edges(edges: DataFrame, known: DataFrame, starts: DataFrame) -> Dat
     return sources.join(cut(listed), "src").select("start", "src", "dst")
 
 
+def describe(nodes: DataFrame) -> DataFrame:
+    """(node, path, table_name, type): file without ``models/``, ``schema.table`` and resource type of nodes."""
+    name = F.coalesce(F.nullif("alias", F.lit("")), F.col("name"), F.lit(""))
+    return nodes.select(
+        "node", F.regexp_replace(F.coalesce("original_file_path", F.lit("")), "^models/", "").alias("path"),
+        F.concat_ws(".", F.nullif("schema", F.lit("")), name).alias("table_name"), F.coalesce("resource_type", F.lit("")).alias("type"),
+    )
+
+
+def neighbours(edges: DataFrame, described: DataFrame, compact_above: int = 20) -> DataFrame:
+    """(start, node, path, table_name, type, level): neighbours that are known and no tests; level 0 in lists of more than ``compact_above``."""
+    rows = edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct().join(described.where("type <> 'test'"), "node")
+    many = rows.groupBy("start").agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(many, "start").select("start", "node", "path", "table_name", "type", F.when(F.col("_n") > compact_above, F.lit(0)).alias("level"))
+
+
+def relation_tree(edges: DataFrame, described: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, row_no, node, level, path, table_name, type): trees of relations in pre-order.
+
+    ``edges`` (src, dst, pos). A name is listed under each expanded name that has it, and
+    expanded where it comes first; tests and unknown names are neither listed nor crossed.
+    Pre-order is sequential, so one tree is made by one task from its own links, as numbers.
+    """
+    listed = cut(edges.join(described.where("type <> 'test'").select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "pos"))
+    pairs = reach(listed, starts).select("start", F.col("node").alias("src"))
+    pairs = pairs.union(starts.select("start", F.col("start").alias("src"))).distinct()
+    rows = pairs.join(listed, "src").select("start", "src", "dst", "pos")
+
+    def walk(links):  # noqa: ANN001, ANN202 - a pandas frame in and out
+        import pandas as pd
+
+        start = links["start"].iloc[0]
+        below: dict[str, list[str]] = {}
+        for src, dst in links.sort_values(["pos", "dst"])[["src", "dst"]].itertuples(index=False):
+            below.setdefault(src, []).append(dst)
+        out, expanded, todo = [], {start}, [iter([(0, x) for x in below.get(start, [])])]
+        while todo:
+            level, x = next(todo[-1], (None, None))
+            if x is None:
+                todo.pop()
+                continue
+            out.append((start, len(out), x, level))
+            if x not in expanded:
+                expanded.add(x)
+                todo.append(iter([(level + 1, y) for y in below.get(x, [])]))
+        return pd.DataFrame(out, columns=["start", "row_no", "node", "level"])
+
+    tree = rows.groupBy("start").applyInPandas(walk, "start string, row_no int, node string, level int")
+    return tree.join(described, "node").select("start", "row_no", "node", "level", "path", "table_name", "type")
+
+
 def downstream_models(edges: DataFrame, starts: DataFrame, models: DataFrame) -> DataFrame:
     """(start, model, level): models below each start; tests and sources are crossed, not reported."""
     below = reach(edges, starts).where(F.col("node").startswith("model."))
@@ -128,9 +179,11 @@ def column_lineage(symbolic: DataFrame, nodes: DataFrame, columns: DataFrame) ->
 
     ``symbolic``: see plans.usage.extract_lineage; ``nodes``: see table_keys, plus
     short_name; ``columns`` (id, column, data_type) from the catalog, used to expand
-    stars. Tables that resolve to no node and columns a star leaves out give no edge.
+    stars. A table that resolves to no node goes by its own name (its bare stars can't be
+    expanded); columns a star leaves out give no edge.
     """
-    rows = resolve_tables(symbolic.where("table_name IS NOT NULL"), table_keys(nodes)).where("node IS NOT NULL").join(nodes.select(F.col("id").alias("node"), F.col("short_name").alias("up")), "node")
+    named = resolve_tables(symbolic.where("table_name IS NOT NULL"), table_keys(nodes)).join(nodes.select(F.col("id").alias("node"), "short_name"), "node", "left")
+    rows = named.withColumn("up", F.coalesce("short_name", "table_name"))
     down = nodes.select(F.col("id").alias("model"), F.col("short_name").alias("down"))
     plain = rows.where("output <> '*'").select("model", "up", "column", "output", "transform")
     left_out = rows.where("transform = 'except'").select("model", "node", "column").distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import keep_last_duplicate_keys, strict_variant
-from tallyloom.session import cut
+from tallyloom.session import counted_cut, cut
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,12 @@ class SchemaGraph:
                 why.setdefault(e.child, "inlined")
         return why
 
+    def ring(self, element: str) -> list[str]:
+        """Table elements that ``element`` holds and is held by, itself included; empty if it is not recursive."""
+        why = self.placement()
+        below = self.reachable(element)
+        return sorted(x for x in below if element in self.reachable(x) and why[x] != "inlined") if element in below else []
+
     def routes(self, table: str) -> list[tuple[str, list[Edge]]]:
         """Edge chains into ``table`` from the tables that hold it, through inlined elements."""
         why, found = self.placement(), []
@@ -98,7 +104,9 @@ class SchemaGraph:
 
 
 def _get(value: str, step: str) -> str:
-    return f"try_variant_get({value}, '$[\"{step}\"]', 'variant')"
+    """A member of a variant; a ``step`` that starts with ``$`` is a whole path."""
+    path = step if step.startswith("$") else f'$["{step}"]'
+    return f"try_variant_get({value}, '{path}', 'variant')"
 
 
 def _follow(df: DataFrame, chain: list[Edge], out: str) -> DataFrame:
@@ -159,21 +167,50 @@ class Shredder:
         )
 
     def rows(self, table: str) -> DataFrame:
-        """Rows of an element's table with their variant ``_v``; recursive elements level by level."""
+        """Rows of an element's table with their variant ``_v``; recursive elements level by level.
+
+        Elements that hold each other are made together: a level's rows of one are the next
+        level's parents of the others.
+        """
         if table in self._rows:
             return self._rows[table]
-        why, routes = self.graph.placement(), self.graph.routes(table)
-        own = [(p, c) for p, c in routes if p == table or (why[table] == "recursive" and table in self.graph.reachable(p) and p in self.graph.reachable(table))]
-        parts = [self._step(self.rows(p), p, c) for p, c in routes if (p, c) not in own]
-        merge = lambda xs: xs[0] if len(xs) == 1 else self._union(xs)
-        out = merge(parts)
-        if own:
-            level = out = cut(out.withColumn("_level", F.lit(0)))
-            while not level.isEmpty():
-                level = cut(merge([self._step(level, p, c) for p, c in own if p == table]).withColumn("_level", F.col("_level") + 1))
-                out = self._union([out, level])
-        self._rows[table] = out
-        return out
+        ring = self.graph.ring(table)
+        if not ring:
+            self._rows[table] = self._union([self._step(self.rows(p), p, c) for p, c in self.graph.routes(table)])
+            return self._rows[table]
+        routes = {t: self.graph.routes(t) for t in ring}
+        level: dict[str, DataFrame] = {}
+        for t in ring:
+            outer = [self._step(self.rows(p), p, c) for p, c in routes[t] if p not in ring]
+            if outer:
+                level[t] = cut(self._union(outer).withColumn("_level", F.lit(0)))
+        out, n = {t: [df] for t, df in level.items()}, 0
+        while level:
+            n += 1
+            after: dict[str, DataFrame] = {}
+            for t in ring:
+                steps = [self._step(level[p], p, c) for p, c in routes[t] if p in level]
+                if steps:
+                    made, count = counted_cut(self._union(steps).withColumn("_level", F.lit(n)))
+                    if count:
+                        after[t] = made
+                        out.setdefault(t, []).append(made)
+            level = after
+        for t in ring:
+            if t not in out:
+                raise ValueError(f"no way leads from {self.graph.root} to {t}")
+            self._rows[t] = self._union(out[t])
+        return self._rows[table]
+
+    def shape(self, element: str) -> list[tuple[str, str]]:
+        """(path, kind) of all parts of an element's values, inlined or not; see observed_shape."""
+        if self.graph.placement()[element] != "inlined":
+            return observed_shape(self.rows(element), "_v")
+        found = None
+        for holder, chain in self.graph.routes(element):
+            part = _follow(self.rows(holder), chain, "_w").select("_w")
+            found = part if found is None else found.unionByName(part)
+        return observed_shape(found.where("_w IS NOT NULL"), "_w")
 
     @staticmethod
     def _union(parts: list[DataFrame]) -> DataFrame:
@@ -215,3 +252,73 @@ def latest_rows(rows: DataFrame, key: str, version: str, content: list[str]) ->
     best = hashed.groupBy(key).agg(F.max(F.struct(F.coalesce(F.col(version), F.timestamp_micros(F.lit(-(2**62)))).alias("v"), F.col("_h").alias("h"))).alias("_b"))
     best = best.select(F.col(key).alias("_k"), F.col("_b.v").alias("_bv"), F.col("_b.h").alias("_bh"))
     return hashed.join(best, (F.col(key) == F.col("_k")) & (F.coalesce(F.col(version), F.timestamp_micros(F.lit(-(2**62)))) == F.col("_bv")) & (F.col("_h") == F.col("_bh")), "left_semi").drop("_h")
+
+
+# -- the schema graph of given records -------------------------------------------
+
+def shape_paths(ddl: str) -> list[tuple[str, str]]:
+    """(path, kind) of every part of a variant type as text; array elements are ``[]``, kinds are upper case."""
+    out: list[tuple[str, str]] = []
+    at = 0
+
+    def name() -> str:
+        nonlocal at
+        if ddl[at] == "`":
+            end = at + 1
+            while ddl[end] != "`" or ddl[end : end + 2] == "``":
+                end += 2 if ddl[end : end + 2] == "``" else 1
+            got, at = ddl[at + 1 : end].replace("``", "`"), end + 1
+            return got
+        end = ddl.index(":", at)
+        got, at = ddl[at:end], end
+        return got
+
+    todo: list[tuple[str, str]] = [("$", "type")]
+    while todo:
+        path, state = todo.pop()
+        if state == "close":
+            at += 1
+        elif state == "member":
+            if ddl[at] == ">":
+                at += 1
+                continue
+            at += 2 if ddl.startswith(", ", at) else 0
+            step = name()
+            at += 2  # the colon and a space
+            todo += [(path, "member"), (f"{path}.{step}", "type")]
+        elif ddl.startswith(("OBJECT<", "ARRAY<"), at):
+            kind = ddl[at : ddl.index("<", at)]
+            at += len(kind) + 1
+            out.append((path, kind))
+            todo += [(path, "member")] if kind == "OBJECT" else [(path, "close"), (f"{path}[]", "type")]
+        else:
+            end = at
+            while end < len(ddl) and ddl[end] not in ",>":
+                end = ddl.index(")", end) if ddl[end] == "(" else end + 1
+            out.append((path, ddl[at:end].strip()))
+            at = end
+    return out
+
+
+def observed_shape(rows: DataFrame, value: str) -> list[tuple[str, str]]:
+    """(path, kind) of all parts of the variants in a column; parts of several kinds are VARIANT. One aggregate over all rows."""
+    ddl = rows.agg(F.expr(f"schema_of_variant_agg({value})").alias("s")).first()[0]
+    return shape_paths(ddl) if ddl else []
+
+
+def undeclared(graph: SchemaGraph, observed: dict[str, list[tuple[str, str]]]) -> list[tuple[str, str, str, bool]]:
+    """(element, path, kind, declared) of what ``observed`` found below each element.
+
+    ``observed`` maps an element to the shape of its values. A part is declared if an
+    attribute or edge leads to it, or lies above or below it.
+    """
+    out = []
+    for element, parts in observed.items():
+        steps = [s[2:] if s.startswith("$") else s for s in graph.attributes.get(element, {}).values()]
+        steps = [s.replace("[0]", "[]") for s in steps] + [e.step for e in graph.edges if e.parent == element and e.step]
+        for path, kind in parts:
+            inner = path[2:]
+            if inner:
+                near = any(inner == s or inner.startswith((s + ".", s + "[")) or s.startswith((inner + ".", inner + "[")) for s in steps)
+                out.append((element, path, kind, near))
+    return out

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.plans.sqltext import Node, SqlError, parse
+from tallyloom.plans.sqltext import Node, SqlError, parse, tokens
 
 RANGES = ("between", "gt", "ge", "lt", "le")
 #: Clauses of a SELECT that events are taken from, by the parser's name for them.
@@ -104,25 +104,32 @@ def _is_literal(n: Node) -> bool:
     return n.kind == "literal" or n.kind in ("arithmetic", "tuple", "function") and n.kids != [] and all(_is_literal(k) for k in n.kids) or n.kind == "function" and not n.kids
 
 
-def usage_events(text: str | None, targets: set[str]) -> list[tuple[str, str, str, str, str, str]]:
+def usage_events(text: str | None, targets: set[str] | None) -> list[tuple[str, str, str, str, str, str]]:
     """(target, column, clause, operator, selectivity, wrapping_fn) for each use of a target's column.
 
-    ``targets`` are lower-case names with one to three parts. WHERE, GROUP BY, ORDER BY,
+    ``targets`` are lower-case names with one to three parts; None stands for all tables
+    that are no CTE, named as written, lower-case. WHERE, GROUP BY, ORDER BY,
     QUALIFY, JOIN ... ON, windows and the select list count; HAVING, LIMIT and USING don't.
     Null, blank and unreadable texts, and an empty target set, give no events.
     """
-    if not text or not text.strip() or not targets:
+    if not text or not text.strip() or targets is not None and not targets:
         return []
     try:
         query = parse(text)
     except SqlError:
         return []
+    return _events(query, targets)
+
+
+def _events(query: Node, targets: set[str] | None) -> list[tuple[str, str, str, str, str, str]]:
     ctes, out = cte_names(query), []
     for s in selects(query):
         sources = list(tables_of(s))
         by_target: dict[str, set[str]] = {}
         for t in sources:
-            if _is_physical(t, ctes) and (hit := targets.intersection(names_of(t))):
+            if not _is_physical(t, ctes):
+                continue
+            if hit := {".".join(p.lower() for p in t.parts)} if targets is None else targets.intersection(names_of(t)):
                 by_target.setdefault(max(hit, key=len), set()).update({(t.alias or t.name).lower(), t.name.lower()})
         for target, aliases in by_target.items():
             alone = len(sources) == 1
@@ -174,6 +181,36 @@ def table_references(text: str | None) -> list[tuple[str, bool, bool]]:
     return [(k, *v) for k, v in out.items()]
 
 
+#: Names that are no column where a comparison follows them.
+_NO_COLUMN = frozenset("and or not where in is null like between on case when then else".split())
+
+
+def filter_columns(text: str | None) -> list[str]:
+    """Columns compared in the first WHERE of a text, by its tokens alone: distinct, in order, as written.
+
+    A column is a name right before ``= < > != <>``, IN (, LIKE, BETWEEN or IS [NOT] NULL;
+    GROUP BY, ORDER BY, LIMIT and HAVING end the clause. Comments and quoted texts hold
+    none; null texts and texts that are no SQL tokens give none.
+    """
+    try:
+        toks = tokens(text or "")
+    except SqlError:
+        return []
+    words = [v.lower() if k in ("name", "op") else f"<{k}>" for k, v in toks] + ["", "", "", ""]
+    at = next((i for i, w in enumerate(words) if w == "where"), None)
+    out: dict[str, None] = {}
+    while at is not None and (at := at + 1) < len(toks):
+        w, then = words[at], words[at + 1]
+        if w in ("limit", "having") or w in ("group", "order") and then == "by":
+            break
+        if toks[at][0] != "name" or w in _NO_COLUMN:
+            continue
+        tested = then in ("=", "<", ">", "!=", "<>", "<=", ">=", "like", "between") or then == "in" and words[at + 2] == "("
+        if tested or then == "is" and "null" in words[at + 2 : at + 4]:
+            out[toks[at][1]] = None
+    return list(out)
+
+
 _DOTTED = re.compile(r"`([\w-]+(?:\.[\w-]+){1,2})`|\b([\w-]+\.\w+\.\w+)\b")
 
 
@@ -384,6 +421,41 @@ def extract_usage(models: DataFrame, model: str, sql: str, targets: str) -> Data
     return models.select(F.col(model).alias("m"), F.col(sql).alias("s"), F.col(targets).alias("t")).mapInPandas(run, f"model string, {EVENT_FIELDS}")
 
 
+def extract_all_usage(models: DataFrame, model: str, sql: str) -> DataFrame:
+    """Usage events of every row on all tables it names: (model, target, column, ..., status).
+
+    A text that can't be read has one row with status ``unreadable`` and nulls.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for m, text in zip(b["m"], b["s"]):
+                if not text or not text.strip():
+                    continue
+                try:
+                    rows += [(m, *e, i, "ok") for i, e in enumerate(_events(parse(text), None))]
+                except SqlError:
+                    rows.append((m, *[None] * 7, "unreadable"))
+            yield pd.DataFrame(rows, columns=["model", "target", "column", "clause", "operator", "selectivity", "wrapping_fn", "event_no", "status"])
+
+    return models.select(F.col(model).alias("m"), F.col(sql).alias("s")).mapInPandas(run, f"model string, {EVENT_FIELDS}, status string")
+
+
+def extract_filters(models: DataFrame, model: str, sql: str) -> DataFrame:
+    """(model, columns): see filter_columns; one row per row."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"model": b["m"], "columns": [filter_columns(t) for t in b["s"]]})
+
+    return models.select(F.col(model).alias("m"), F.col(sql).alias("s")).mapInPandas(run, "model string, columns array<string>")
+
+
 def extract_references(models: DataFrame, model: str, sql: str) -> DataFrame:
     """(model, table_name, bare_star, in_from) for each table each text names."""
 

@@ -112,3 +112,17 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_types(spark: SparkSession) -> DataFrame:
     targets = spark.range(5).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("target"))
     return targets.withColumn("t", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("data_type"), F.lit(p).alias("is_partition")) for c, t, p in COLUMN_TYPES]))).select("target", "t.*")
+
+
+#: SQL of models without comments, lower-case; each quoted text is one letter ``s``.
+TEXTS_SQL = MODELS_SQL + r""", tx AS (SELECT unique_id, lower(regexp_replace(regexp_replace(compiled_code, '(''(?:[^''\\]|\\.)*'')|--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/', '\1 ', 'g'), '''(?:[^''\\]|\\.)*''', 's', 'g')) AS t FROM m)"""
+#: Columns compared in the first WHERE of each model, distinct and in order.
+FILTERS_SQL = TEXTS_SQL + r""", fw AS (SELECT unique_id, regexp_extract_all(regexp_extract(t, '\bwhere\b(.*?)(?:\bgroup\s+by\b|\border\s+by\b|\blimit\b|\bhaving\b|$)', 1, 's'), '\b([a-z_]\w*)\s*(?:=|<|>|!=|\bin\s*\(|\blike\b|\bbetween\b|\bis\s+(?:not\s+)?null\b)', 1) AS l FROM tx),
+  fc AS (SELECT unique_id, list_filter(l, lambda x, i: list_position(l, x) = i AND x NOT IN ('and', 'or', 'not', 'where', 'in', 'is', 'null', 'like', 'between')) AS l FROM fw)"""
+#: Usage events of all models: what their SQL does with columns of the tables it names.
+USES_SQL = TEXTS_SQL + r""", sp AS (SELECT unique_id, t, regexp_extract(t, 'from\s+`([^`]+)`\s+as\s+t\b', 1) AS ft, regexp_extract(t, 'join\s+`([^`]+)`\s+as\s+j\b', 1) AS jt, regexp_extract(t, '^(.*?)\sfrom\s', 1, 's') AS sel, regexp_extract(t, '\bwhere\b(.*)$', 1, 's') AS w FROM tx WHERE t IS NOT NULL),
+  wc AS (SELECT unique_id, ft AS target, unnest(regexp_extract_all('and ' || w, 'and\s+(?:coalesce\(\s*)?t\.\w+\s*(?:,[s\s]*\)\s*)?(?:>=|<=|!=|=|<|>|in\b)', 0)) AS c FROM sp WHERE w <> ''),
+  us AS (SELECT target, regexp_extract(c, 't\.(\w+)', 1) AS "column", 'where' AS clause, CASE regexp_extract(c, '(>=|<=|!=|=|<|>|in)$', 1) WHEN '>=' THEN 'ge' WHEN '<=' THEN 'le' WHEN '!=' THEN 'neq' WHEN '=' THEN 'eq' WHEN '<' THEN 'lt' WHEN '>' THEN 'gt' ELSE 'in' END AS operator,
+    CASE WHEN regexp_extract(c, '(>=|<=|!=|=|<|>|in)$', 1) IN ('>=', '<=', '<', '>') THEN 'range' ELSE 'literal' END AS selectivity, CASE WHEN contains(c, 'coalesce') THEN 'coalesce' ELSE '' END AS wrapping_fn, unique_id AS downstream_model FROM wc
+   UNION ALL SELECT ft, regexp_extract(t, 'on\s+j\.\w+\s*=\s*t\.(\w+)', 1), 'join', 'eq', 'none', '', unique_id FROM sp WHERE jt <> '' UNION ALL SELECT jt, regexp_extract(t, 'on\s+j\.(\w+)', 1), 'join', 'eq', 'none', '', unique_id FROM sp WHERE jt <> ''
+   UNION ALL SELECT ft, unnest(regexp_extract_all(sel, 't\.(\w+)', 1)), 'select', 'none', 'none', '', unique_id FROM sp)"""

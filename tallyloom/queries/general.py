@@ -9,7 +9,7 @@ from tallyloom.functions.text import blank_to_zero, json_core, keep_last_duplica
 from tallyloom.operators.hierarchy import Hierarchy, tree_pairs
 from tallyloom.operators.hotkeys import key_totals, latest_versions, list_totals
 from tallyloom.operators.rolling import trailing_totals
-from tallyloom.operators.shredding import Edge, SchemaGraph, Shredder, latest_rows
+from tallyloom.operators.shredding import Edge, SchemaGraph, Shredder, latest_rows, undeclared
 from tallyloom.operators.snapshots import snapshot_changes
 
 MODEL_PREFIX = "lumen_dwh."
@@ -162,7 +162,7 @@ LAYOUT = SchemaGraph(
         "report": {"report_name": "name"},
         "page": {"page_name": "name", "display_name": "displayName"},
         "visual_config": {"visual_name": "name"},
-        "single_visual": {"visual_type": "visualType"},
+        "single_visual": {"visual_type": "visualType", "title": "$.vcObjects.title[0].properties.text.expr.Literal.Value"},
         "field": {"query_ref": "queryRef", "active": "active"},
         "filter": {"filter_type": "type", "filter_name": "name"},
         "report_config": {"version": "version"},
@@ -198,9 +198,12 @@ def _layout_table(name: str, keys: list[str], columns: list[str]):
 
 
 def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where shared inlining puts each element of the layout's schema graph."""
-    rows = [(e.parent, e.child, e.step, e.kind, LAYOUT.placement()[e.child]) for e in LAYOUT.edges]
-    return spark.createDataFrame(rows, "parent string, element string, step string, kind string, placement string")
+    """Parts found in the layouts below each element of the schema graph, and whether the graph leads to them."""
+    made = layouts(table(spark, sf_dir, "bi_reports"))
+    elements = ["report_config", "visual_config", "single_visual", "filter", "bookmark"]
+    rows = undeclared(LAYOUT, {e: made.shape(e) for e in elements})
+    placed = LAYOUT.placement()
+    return spark.createDataFrame([(e, placed[e], p, k, known) for e, p, k, known in rows], "element string, placement string, path string, kind string, declared boolean")
 
 
 QUERIES = {

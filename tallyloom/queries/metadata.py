@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import advisors, monitoring, resolve, select
+from tallyloom.plans import usage as texts
 from tallyloom.queries.base import (
-    AS_OF, COSTS_SQL, MODELS_SQL, NODES_SQL, REFS_SQL, STORAGE_SQL, TYPES_SQL, USAGE_SQL, Registry,
+    AS_OF, COSTS_SQL, FILTERS_SQL, MODELS_SQL, NODES_SQL, REFS_SQL, STORAGE_SQL, TYPES_SQL, USAGE_SQL, Registry,
     column_types, costs, models, nodes, refs, storage, table, usage,
 )
 
@@ -200,10 +201,10 @@ def clustering_columns(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.clustering_columns(cols.select("*", F.when(F.col("column_name") == "event_date", "YES").alias("is_partitioning_column"), F.when(F.col("column_name").like("%d"), F.length("column_name")).alias("clustering_ordinal_position")))
 
 
-@Q("filter_patterns")
+@Q("filter_patterns", f"WITH {FILTERS_SQL} SELECT unique_id, coalesce(array_to_string(l, ','), '') AS columns FROM fc")
 def filter_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """Columns compared in the first WHERE of every model's SQL, found by patterns alone."""
-    return models(spark, d).select("unique_id", F.array_join(monitoring.filter_columns(F.col("compiled_code")), ",").alias("columns"))
+    """Columns compared in the first WHERE of every model's SQL, found by its tokens alone."""
+    return texts.extract_filters(models(spark, d), "unique_id", "compiled_code").select(F.col("model").alias("unique_id"), F.array_join("columns", ",").alias("columns"))
 
 
 # -- hotspots -----------------------------------------------------------------
@@ -300,7 +301,8 @@ _PARTITION_SQL = f"""WITH {USAGE_SQL}, {TYPES_SQL}, b AS (SELECT u.*, upper(trim
 
 @Q("partition_scores", _PARTITION_SQL + " SELECT * FROM z")
 def partition_scores(spark: SparkSession, d: str) -> DataFrame:
-    return advisors.partition_scores(usage(spark, d), column_types(spark).drop("is_partition"))
+    scores = advisors.partition_scores(usage(spark, d), column_types(spark).drop("is_partition"))
+    return scores.select("target", "column", "data_type", "n_models", "n_wrapped", "score", "granularity")
 
 
 @Q("partition_advice", _PARTITION_SQL + ' SELECT target, "column", score, rank_no FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, "column") AS rank_no FROM z WHERE score > 0) WHERE rank_no <= 5')
@@ -392,16 +394,8 @@ def context_bundle(spark: SparkSession, d: str) -> DataFrame:
     return resolve.context_bundle(every, known)
 
 
-@Q("columns_with_docs", f"""WITH {MODELS_SQL}, k AS (SELECT unique_id, unnest(map_entries(columns)) AS c FROM m), s AS (SELECT DISTINCT unique_id, c.key AS col FROM k WHERE c.key <> 'payload'),
-  d AS (SELECT unique_id, c.key AS col, coalesce(c.value.description, '') AS description FROM k WHERE length(c.key) < 9)
-  SELECT unique_id, col AS "column", coalesce(description, '') AS description FROM s LEFT JOIN d USING (unique_id, col)""")
+@Q("columns_with_docs", f"""WITH {MODELS_SQL}, k AS (SELECT unique_id, unnest(map_entries(columns)) AS c FROM m) SELECT unique_id, c.key AS "column", coalesce(c.value.description, '') AS description FROM k""")
 def columns_with_docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = select.documented_columns(models(spark, d))
-    return select.columns_with_docs(docs.where("column <> 'payload'").select("unique_id", "column").distinct(), docs.where(F.length("column") < 9))
-
-
-@Q("columns_with_all_docs", f"""WITH {MODELS_SQL}, k AS (SELECT unique_id, unnest(map_entries(columns)) AS c FROM m) SELECT unique_id, c.key AS "column", coalesce(c.value.description, '') AS description FROM k""")
-def columns_with_all_docs(spark: SparkSession, d: str) -> DataFrame:
     """Every column with its documentation, whatever its name."""
     docs = select.documented_columns(models(spark, d))
     return select.columns_with_docs(docs.select("unique_id", "column").distinct(), docs)
@@ -412,15 +406,10 @@ def config_projection(spark: SparkSession, d: str) -> DataFrame:
     return models(spark, d).select("unique_id", select.config_value("meta.tier").alias("tier"), select.config_value("meta.checks.fresh_hours").alias("fresh_hours"))
 
 
-@Q("find_path", f"WITH {MODELS_SQL} SELECT original_file_path FROM m WHERE unique_id = (SELECT min(unique_id) FROM m) LIMIT 1".replace("WHERE unique_id = (SELECT min(unique_id) FROM m) LIMIT 1", f"WHERE {SHORT} = 'no_such_model'"))
-def find_path(spark: SparkSession, d: str) -> DataFrame:
-    return select.find_path(models(spark, d), "no_such_model")
-
-
-@Q("find_paths", f"""WITH {MODELS_SQL}, a AS (SELECT {SHORT} AS name, 0 AS rank, pos, unique_id, original_file_path FROM m UNION ALL SELECT schema || '.' || alias, 1, pos, unique_id, original_file_path FROM m WHERE alias IS NOT NULL
+@Q("find_path", f"""WITH {MODELS_SQL}, a AS (SELECT {SHORT} AS name, 0 AS rank, pos, unique_id, original_file_path FROM m UNION ALL SELECT schema || '.' || alias, 1, pos, unique_id, original_file_path FROM m WHERE alias IS NOT NULL
   UNION ALL SELECT schema || '.' || name, 1, pos, unique_id, original_file_path FROM m WHERE name IS NOT NULL)
   SELECT name, original_file_path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, pos NULLS FIRST, unique_id) AS i FROM a WHERE name IS NOT NULL) WHERE i = 1""")
-def find_paths(spark: SparkSession, d: str) -> DataFrame:
+def find_path(spark: SparkSession, d: str) -> DataFrame:
     """Path of every model name and of every schema.table."""
     return select.find_paths(models(spark, d))
 

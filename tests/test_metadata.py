@@ -57,8 +57,12 @@ def test_staleness(spark):
 
 
 def test_filter_columns(spark):
-    rows = spark.createDataFrame([("select * from t WHERE Country = 'x' and not d between 1 and 2 or country > 3 and k is not null group by z",), ("select 1",), ("",), (None,)], "q string")
-    assert [r[0] for r in rows.select(monitoring.filter_columns(F.col("q"))).collect()] == [["Country", "d", "country", "k"], [], [], []]
+    from tallyloom.plans.usage import extract_filters, filter_columns
+
+    text = "select a from t where t.Country = 'x = 5' and d >= 3 -- and e = 1\n and lower(z) != 'q' and country in (1) and not Country = 2 or k is not null group by g having h = 1"
+    assert filter_columns(text) == ["Country", "d", "country", "k"]
+    rows = spark.createDataFrame([("a", text), ("b", None), ("c", "select 1"), ("d", "")], "m string, q string")
+    assert [r["columns"] for r in extract_filters(rows, "m", "q").collect()] == [["Country", "d", "country", "k"], [], [], []]
 
 
 FACTS = "dataset_id string, table_id string, is_model boolean, enabled boolean, materialized string, total_gb double, n_queries long, cost double, slot_ms long, bytes_processed long, has_partition boolean, has_cluster boolean, days_unused int"
@@ -121,7 +125,7 @@ def test_refresh(spark):
 def test_levels_and_reach(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("l", "m"), ("m", "l"), ("m", "n"), ("a", "b")], "src string, dst string")
     names = e.select(F.col("src").alias("x")).union(e.select("dst")).distinct()
-    assert got(advisors.topological_levels(e, names)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    assert got(advisors.topological_levels(e, names)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("l", 4), ("m", 4), ("n", 4)]
     starts = spark.createDataFrame([("a",), ("l",), ("unknown",)], "start string")
     assert got(graph.reach(e, starts)) == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("l", "l", 2), ("l", "m", 1), ("l", "n", 2)]
     assert graph.reach(e.limit(0), starts).count() == 0
