@@ -39,6 +39,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_documents(spark, sf_dir), "doc_id", "text", items, "item_id", "text")
 
 
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best passage of each item in each document: exact or proximity, with its place in both."""
+    from tallyloom.llm.leakage import leaked_passages
+
+    items = spark.read.parquet(f"{sf_dir}/eval_items.parquet")
+    return leaked_passages(_documents(spark, sf_dir), "doc_id", "text", items, "item_id", "text")
+
+
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of documents each leaked item is found in."""
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
@@ -58,6 +66,6 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_items": p7_items,
+    "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_passages": p7_passages, "p7_items": p7_items,
     "p8_found": p8_found, "p8_shares": p8_shares,
 }

@@ -12,9 +12,11 @@ _LIKE = str.maketrans(
     "aeopcyxijshdqwvlkmhtbaeikvoptux",
 )
 _COMMENT = re.compile(r"<!--(?:(?!<!--|-->).)*-->", re.S)
-#: Tags inside a word are dropped, other tags end a word.
-_INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|wbr|font)\b[^<>]{0,300}>|\[/?(?:b|i|u|s)\]", re.I)
-_TAG = re.compile(r"</?[a-z][^<>]{0,300}>|\[/?[a-z]+(?:=[^\[\]]{0,300})?\]", re.I)
+#: Tags inside a word are dropped, other tags end a word. What stands between angle
+#: brackets is a tag up to 300 characters, and beyond if it has an attribute.
+_INSIDE = r"(?:[^<>]{0,300}|[^<>=]{0,300}=[^<>]*+)"
+_INLINE = re.compile(rf"</?(?:b|i|u|s|em|strong|span|wbr|font)\b{_INSIDE}>|\[/?(?:b|i|u|s)\]", re.I)
+_TAG = re.compile(rf"</?[a-z]{_INSIDE}>|\[/?[a-z]+(?:=[^\[\]]*+)?\]", re.I)
 #: A word broken at a line end, also inside a quotation.
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-­‐‑]\s*\r?\n[\s>|]*(?=[^\W\d_])")
 _UNSEEN = re.compile(r"[­̀-ͯ​-‏‪-‮⁠-⁤︀-️﻿]")
@@ -36,7 +38,10 @@ def words(text: str | None) -> list[str]:
         text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
     while "<!--" in text and (less := _COMMENT.sub(" ", text)) != text:
         text = less
-    text = _TAG.sub(" ", _INLINE.sub("", _BROKEN.sub("", text)))
+    if "-" in text or not plain:
+        text = _BROKEN.sub("", text)
+    if "<" in text or "[" in text:
+        text = _TAG.sub(" ", _INLINE.sub("", text))
     text = text.casefold()
     if not plain:
         text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text)).translate(_LIKE)

@@ -5,11 +5,18 @@ import random
 from pyspark.sql import functions as F
 
 from tallyloom.llm import queries
-from tallyloom.llm.leakage import RUN, holds_passage, leaked_items, positional_index
+from tallyloom.llm import leakage
+from tallyloom.llm.leakage import RUN, best_passage, leaked_items, leaked_passages, positional_index
 from tallyloom.llm.words import words
 
 
+def holds_passage(text, item):
+    return best_passage(text, item) is not None
+
+
 def test_words():
+    assert words(f"a <img src='{'x' * 4000}'> b [quote={'y' * 4000}]c") == ["a", "b", "c"]
+    assert words("if a <b " + "and so on " * 40 + "> c")[:4] == ["if", "a", "b", "and"]
     assert words("Fеnjоr &amp; <b>Bi</b>g  [quote=x]H​ouse—Ｆｕｌｌ ﬁne café") == ["fenjor", "big", "house", "full", "fine", "cafe"]
     assert words("> tru-\n> sted half-done") == ["trusted", "half", "done"]
     assert words("a <!-- <!-- ad --> ad --> b") == ["a", "b"]
@@ -53,10 +60,35 @@ def test_index_and_awkward_rows(spark):
     assert sorted(map(tuple, leaked_items(docs, "doc", "text", items, "item", "text").collect())) == [(1, 7), (1, 10), (4, 7), (4, 10)]
     assert leaked_items(docs.limit(0), "doc", "text", items, "item", "text").count() == 0
     assert leaked_items(docs, "doc", "text", items.limit(0), "item", "text").count() == 0
+    out = {(r["doc"], r["item"]): r for r in leaked_passages(docs, "doc", "text", items, "item", "text").collect()}
+    assert {k: (r["kind"], r["n_edits"], r["item_from"], r["item_to"], r["doc_from"], r["doc_to"]) for k, r in out.items()} == {
+        (1, 7): ("exact", 0, 0, 30, 1, 31), (4, 7): ("exact", 0, 0, 30, 0, 30), (1, 10): ("exact", 0, 2, 32, 1, 31), (4, 10): ("exact", 0, 2, 32, 0, 30)
+    }
     index = positional_index(docs.where("doc = 1"), "doc", "text")
     assert index.where("term = 'term3'").first()["places"] == [4] and RUN == 6
 
 
+def test_best_passage():
+    item = [f"w{i}" for i in range(40)]
+    assert best_passage(["x", *item[5:15], "zz", *item[16:36], "y"], item) == (1, 5, 36, 1, 32)
+    assert best_passage([*item[:15], "q", "q", "q", *item[:22]], item) == (0, 0, 22, 18, 40)
+
+
+def test_large_test_sets_take_the_same_rows(spark, monkeypatch):
+    """Shuffled joins with hot terms dealt, and a filter whose slots are all taken."""
+    rng = random.Random(8)
+    pool = [f"t{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(pool, k=30))) for i in range(12)]
+    docs = [(i, "hot " * 9 + " ".join(rng.choices(pool, k=8)) + " " + " ".join(items[i % 12][1].split()[i % 5 : 12 + i % 9]) + " hot") for i in range(80)]
+    docs, items = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, text string")
+    run = lambda: sorted(map(tuple, leaked_passages(docs, "doc", "text", items, "item", "text").collect()))
+    first = run()
+    assert first
+    monkeypatch.setattr(leakage, "FEW", 0)
+    monkeypatch.setattr(leakage, "SLOT_BITS", 2)
+    assert run() == first
+
+
 def test_query_equals_brute_force(spark, small):
     rows = {tuple(r) for r in queries.QUERIES["p7_found"](spark, small).collect()}
     read = lambda name, key: [(r[0], words(r[1])) for r in spark.read.parquet(f"{small}/{name}.parquet").select(key, "text").where(F.col("text").isNotNull()).collect()]
