@@ -155,7 +155,9 @@ def _reach(a: list[str], b: list[str], edits: int) -> list[tuple[int, int]]:
         if not after:
             break
         front = after
-        most.append(max(max((i, i + s) for s, i in front.items()), most[-1]))
+        # of ways that pass as many words of a the one with the fewest words of b counts
+        i, last = max((i, -(i + s)) for s, i in front.items())
+        most.append(max((i, -last), most[-1], key=lambda x: (x[0], -x[1])))
     return most
 
 
