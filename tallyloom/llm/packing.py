@@ -10,6 +10,7 @@ search moves on to the next larger residual until a container fits without confl
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from tallyloom.session import cut
 
 CAPACITY = 2048
+_SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Items of a shard; a shard is packed by one task and needs about 300 bytes an item.
 SHARD_ITEMS = 20_000
 
@@ -30,25 +32,30 @@ def token_counter(vocabulary: str, pattern: str):
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    # long texts go in pieces of whole lines, so that no single call is unbounded
     return lambda text: sum(len(encoding.encode_ordinary(part)) for part in _pieces(text))
 
 
 def _pieces(text: str, least: int = 100_000) -> Iterator[str]:
+    """Parts of a text that can be counted one by one.
+
+    A seam lies between a letter and a single space before a letter: split patterns of
+    byte-level vocabularies end a token there in any case, so counts add up exactly. A
+    text without seams stays whole.
+    """
     at = 0
-    while len(text) - at > 2 * least:
-        end = text.find("\n", at + least)
-        end = at + 2 * least if end < 0 or end > at + 2 * least else end
-        yield text[at:end]
-        at = end
+    for m in _SEAM.finditer(text):
+        if m.start() - at >= least:
+            yield text[at : m.start()]
+            at = m.start()
     yield text[at:]
 
 
-def token_sizes(docs: DataFrame, key: str, text: str, source: str, vocabulary: str, pattern: str) -> DataFrame:
+def token_sizes(docs: DataFrame, key: str, text: str, source: str, vocabulary: str, pattern: str, cluster: str | None = None) -> DataFrame:
     """(item, source, cluster, size): tokens of every text that is not null.
 
-    ``cluster`` is a hash of the text with case and white space evened out, so stored
-    copies share one.
+    ``cluster`` is a hash of the column of that name, such as the class of a near-duplicate
+    search; without one, of the text's letters and digits in lower case, so copies that
+    differ in case, spacing or punctuation share one.
     """
     kind = dict(docs.dtypes)[key]
 
@@ -57,9 +64,10 @@ def token_sizes(docs: DataFrame, key: str, text: str, source: str, vocabulary: s
         for b in batches:
             yield pd.DataFrame({"item": b["item"], "source": b["source"], "cluster": b["cluster"], "size": [count(t) for t in b["text"]]})
 
+    plain = F.lower(F.regexp_replace(F.col(text), r"[^\p{L}\p{N}]+", " "))
     chosen = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("item"), F.col(source).cast("string").alias("source"),
-        F.xxhash64(F.lower(F.regexp_replace(F.trim(F.col(text)), r"\s+", " "))).alias("cluster"), F.col(text).alias("text"),
+        F.xxhash64(F.coalesce(F.col(cluster).cast("string"), plain) if cluster else plain).alias("cluster"), F.col(text).alias("text"),
     )
     return chosen.mapInPandas(measure, f"item {kind}, source string, cluster long, size long")
 
@@ -135,15 +143,17 @@ class BestFit:
         return placed
 
 
-def pack_shard(items: pd.DataFrame, capacity: int, apart: dict[str, set[str]] | None = None) -> list[int]:
+def pack_shard(items: pd.DataFrame, capacity: int, apart: dict[str, set[str]] | None = None, strict: bool = False) -> list[int]:
     """Container number of each row of ``items`` (size, source, cluster), by best fit.
 
     Texts with copies go first, while there is room to keep them apart, then the others;
-    both largest first. A cluster with more copies than the shard needs containers is
-    dealt into groups that can be kept apart, so that it costs no space: a container then
-    holds at most one copy of each group. Texts of 0 tokens conflict with none.
+    both largest first. With ``strict`` no container holds two copies of a text, whatever
+    their number, and a cluster with more copies than the other texts need containers opens
+    containers of its own. Without it such a cluster is dealt into groups that can be kept
+    apart, so that it costs no space: a container then holds at most one copy of each group.
+    Texts of 0 tokens conflict with none.
     """
-    room = max(1, int(0.9 * items["size"].sum() / capacity))
+    room = len(items) + 1 if strict else max(1, int(0.9 * items["size"].sum() / capacity))
     copies = items["cluster"].value_counts()
     bits: dict[tuple[int, int], int] = {}
     for c, n in copies[copies > 1].items():
@@ -180,18 +190,18 @@ def pack_shard(items: pd.DataFrame, capacity: int, apart: dict[str, set[str]] |
 
 def pack(
     docs: DataFrame, key: str, text: str, source: str, vocabulary: str, pattern: str,
-    capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, apart: dict[str, set[str]] | None = None,
+    capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, apart: dict[str, set[str]] | None = None, strict: bool = False, cluster: str | None = None,
 ) -> DataFrame:
     """(container_id, key, piece_no, first_token, n_tokens): every text placed exactly once.
 
     Texts above the capacity are split at token ``capacity``, 2 ``capacity``, ...; no
     other text is split. Null keys and texts are no items and left out, empty texts take
     0 tokens; a repeated row is placed again, in another container. ``apart`` names sources
-    that must not share a container. Shards follow a hash of row and piece, so the copies
+    that must not share a container; ``strict``, ``cluster``: see pack_shard, token_sizes. Shards follow a hash of row and piece, so the copies
     of a hot text or key are spread evenly and each shard's bitmaps stay small.
     """
     kind = dict(docs.dtypes)[key]
-    sizes = cut(token_sizes(docs, key, text, source, vocabulary, pattern))
+    sizes = cut(token_sizes(docs, key, text, source, vocabulary, pattern, cluster))
     # row numbers of written files stay the same when a task runs again
     items = pieces_of(sizes.withColumn("row", F.monotonically_increasing_id()), capacity)
     shards = max(1, -(-items.count() // shard_items))
@@ -199,7 +209,7 @@ def pack(
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["row", "piece"], kind="stable").reset_index(drop=True)
-        made = pack_shard(group, capacity, apart)
+        made = pack_shard(group, capacity, apart, strict)
         shard = group["shard"].iloc[0]
         return pd.DataFrame({
             "container_id": [f"{shard}-{b}" for b in made], "item": group["item"], "piece_no": group["piece"],

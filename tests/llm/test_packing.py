@@ -3,10 +3,10 @@
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tallyloom.llm import packing
 from tallyloom.llm.packing import BestFit, fill_report, pack, pack_shard, pieces_of, token_counter
 from tallyloom.llm import queries
 
@@ -72,7 +72,21 @@ def test_pieces(spark):
 def test_long_texts_are_counted_whole():
     count = token_counter(*VOCABULARY)
     text = "line of words\n" * 40_000
-    assert count(text) == pytest.approx(40_000 * count("line of words\n"), rel=0.01)
+    whole = packing._pieces
+    try:
+        packing._pieces = lambda t: [t]
+        want = [token_counter(*VOCABULARY)(t) for t in (text, "naïve café, don't! " * 12_000, "x" * 300_000)]
+    finally:
+        packing._pieces = whole
+    assert [count(t) for t in (text, "naïve café, don't! " * 12_000, "x" * 300_000)] == want
+    assert len(list(packing._pieces(text))) > 3 and "".join(packing._pieces(text)) == text
+
+
+def test_strict_keeps_any_number_of_copies_apart():
+    rows = pd.DataFrame({"size": [40] * 300 + [900] * 30, "source": "s", "cluster": [1] * 300 + list(range(10, 40))})
+    rows["container"] = pack_shard(rows, 1024, strict=True)
+    assert rows[rows["cluster"] == 1].groupby("container").size().max() == 1 and rows["container"].nunique() == 300
+    assert rows.groupby("container")["size"].sum().max() <= 1024
 
 
 def test_query(spark, small):
