@@ -66,6 +66,12 @@ def partition_details(parts: DataFrame, dataset: str, table: str, most: int = 10
     )
 
 
+def latest_partitions(parts: DataFrame, most: int = 100) -> DataFrame:
+    """partition_details of every table at once; Spark drops all but ``most`` rows of a table before the shuffle."""
+    w = Window.partitionBy("dataset_id", "table_id").orderBy(F.desc("partition_id"))
+    return parts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("dataset_id", "table_id", "partition_id", "total_rows", gb("total_logical_bytes", 4).alias("total_gb"))
+
+
 def clustering_columns(columns: DataFrame) -> DataFrame:
     """Partition column and cluster columns in order, for every table."""
     return columns.groupBy("dataset_id", "table_id").agg(

@@ -43,6 +43,48 @@ def fallback(requested: DataFrame, levels: list[tuple[str, DataFrame]]) -> DataF
     )
 
 
+def readable_bytes(n: Column) -> Column:
+    """B, KB, MB, GB or TB by 1,024, with two decimals (none for bytes); null stays null."""
+    n = n.cast("double")
+    out = F.concat(F.format_string("%.2f", n / 1024**4), F.lit(" TB"))
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_string("%.2f", n / 1024**power), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(n.isNotNull(), F.when(n < 1024, F.concat(F.format_string("%.0f", n), F.lit(" B"))).otherwise(out))
+
+
+def fallback_warnings(resolved: DataFrame) -> DataFrame:
+    """(name, type, severity): warnings for names not found in the first level, and errors for those found in none.
+
+    Only names with ``__`` can be asked for in the warehouse, so another name's ``live`` hit
+    does not count. ``resolved``: see fallback.
+    """
+    unasked = (F.col("level") == "live") & ~F.col("name").contains("__")
+    lost = F.col("level").isNull() | unasked
+    kind = F.when(lost, "model_not_found").when(F.col("level") == "dev", "using_dev_manifest").when(F.col("level") == "live", "using_live_table")
+    return resolved.select("name", kind.alias("type"), F.when(lost, "error").otherwise("warning").alias("severity")).where("type IS NOT NULL")
+
+
+def git_manifest_warnings() -> Column:
+    """Array of (type, severity) where the state of a model's file and the manifests disagree.
+
+    Columns: use_dev, modified, committed, in_prod, in_dev, has_dev_manifest. Asked for the
+    development version of a model that is not in its manifest, or for a changed model that
+    is in neither, nothing else is said.
+    """
+    f = lambda c: F.coalesce(F.col(c), F.lit(False))
+    dev, changed, committed = f("use_dev"), f("modified"), f("committed")
+    say = lambda when, kind, severity: F.when(when, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity")))
+    new = say(~dev & ~f("in_prod") & f("in_dev") & changed, "new_model_candidate", "warning")
+    absent = dev & ~f("in_dev")
+    stop = F.when(absent, F.array(F.coalesce(say(changed | committed, "modified_not_compiled", "warning"), say(F.lit(True), "dev_without_changes", "warning")))).when(
+        changed & ~f("in_prod") & ~f("in_dev"), F.array(say(F.lit(True), "file_not_compiled", "error")))
+    rest = F.array(
+        new, say(dev & ~changed & ~committed, "dev_without_changes", "warning"), say(dev & ~changed & committed, "dev_committed_not_merged", "info"),
+        say(~dev & changed, "git_mismatch", "warning"), say(~dev & ~changed & committed, "git_committed", "info"), say(dev & ~f("has_dev_manifest"), "dev_manifest_missing", "error"),
+    )
+    return F.coalesce(stop, F.array_compact(rest))
+
+
 def lifecycle_state() -> Column:
     """State of a model from its flags.
 

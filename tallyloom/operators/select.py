@@ -67,6 +67,11 @@ def get_model(models: DataFrame, name: str) -> DataFrame:
     return all_models(models).where(short_name() == name).orderBy("pos").limit(1)
 
 
+def first_models(models: DataFrame) -> DataFrame:
+    """(model, unique_id): get_model for every short name at once."""
+    return all_models(models).groupBy(short_name().alias("model")).agg(F.min_by("unique_id", F.struct("pos", "unique_id")).alias("unique_id"))
+
+
 def all_models(models: DataFrame) -> DataFrame:
     return models.where(F.col("unique_id").startswith("model."))
 
@@ -94,6 +99,49 @@ def modified(models: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.join(files, "_k").where("endswith(path, original_file_path)").groupBy("unique_id").agg(F.max_by("origin", "_rank").alias("origin"))
 
 
+def compact_list(models: DataFrame) -> DataFrame:
+    """One row (models, tables): sorted names, joined by spaces; the text form is the first of them alone."""
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), " ")
+    return list_projection(models).agg(joined("model").alias("models"), joined("table_name").alias("tables"))
+
+
+def file_matches(names: DataFrame, changes: DataFrame) -> DataFrame:
+    """(name, path): changed SQL files named like a model, or like its table part (what follows the last ``__``)."""
+    wanted = names.select("name").distinct().withColumn("_file", F.explode(F.array_distinct(F.array(F.col("name"), F.substring_index("name", "__", -1)))))
+    files = changes.where(F.col("path").endswith(".sql")).select("path", F.regexp_extract("path", r"([^/]*)\.sql$", 1).alias("_file")).distinct()
+    return wanted.join(files, "_file").select("name", "path").distinct()
+
+
+def united_changes(changes: DataFrame) -> DataFrame:
+    """(path, origin): every changed file once; untracked wins over uncommitted, that over committed."""
+    rank = F.when(F.col("origin") == "untracked", 3).when(F.col("origin") == "uncommitted", 2).otherwise(1)
+    return changes.where("path IS NOT NULL").groupBy("path").agg(F.max_by("origin", rank).alias("origin"))
+
+
+def list_with_status(models: DataFrame, changes: DataFrame) -> DataFrame:
+    """list_projection with the config's ``meta`` as JSON text and the origin of a change of the model's file."""
+    meta = F.to_json(F.try_variant_get(strict_variant("config"), "$.meta", "variant"))
+    return models.join(modified(models, changes), "unique_id", "left").select(
+        short_name().alias("model"), F.col("original_file_path").alias("path"), F.when(meta != "null", meta).alias("meta"), F.col("origin").alias("git_status")
+    )
+
+
+def live_config(facts: DataFrame) -> DataFrame:
+    """(name, config): the part of a config that the warehouse knows, as JSON text; all other settings have their defaults.
+
+    ``facts`` (name, table_type, partition_field, cluster_fields).
+    """
+    kind = F.when(F.coalesce("table_type", F.lit("TABLE")) == "TABLE", "table").otherwise("view").alias("materialized")
+    text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    empty = F.create_map().cast("map<string,string>")
+    nulls = lambda *names: [text.alias(n) for n in names]
+    whole = F.struct(
+        kind, F.col("partition_field").alias("partition_by"), F.col("cluster_fields").alias("cluster_by"), *nulls("unique_key", "incremental_strategy", "on_schema_change"), empty.alias("grants"), none.alias("tags"), empty.alias("meta"),
+        F.lit(True).alias("enabled"), *nulls("alias", "schema", "database"), none.alias("pre_hook"), none.alias("post_hook"), empty.alias("quoting"), empty.alias("column_types"), empty.alias("persist_docs"), *nulls("full_refresh"),
+    )
+    return facts.select("name", F.to_json(whole, {"ignoreNullFields": "false"}).alias("config"))
+
+
 def list_projection(models: DataFrame) -> DataFrame:
     return models.select(
         short_name().alias("model"), F.concat_ws(".", "schema", F.coalesce(F.nullif("alias", F.lit("")), "name")).alias("table_name"),

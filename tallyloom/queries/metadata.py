@@ -100,6 +100,79 @@ def config_lists(spark: SparkSession, d: str) -> DataFrame:
     return models(spark, d).select("unique_id", F.array_join(select.config_list("cluster_by"), ",").alias("cluster_by"), F.array_join(select.config_list("partition_by", "field"), ",").alias("partition_by"))
 
 
+@Q("list_compact", f"""WITH {MODELS_SQL} SELECT string_agg({SHORT}, ' ' ORDER BY {SHORT}) AS models, string_agg(concat_ws('.', schema, coalesce(nullif(alias, ''), name)), ' ' ORDER BY concat_ws('.', schema, coalesce(nullif(alias, ''), name))) AS tables FROM m""")
+def list_compact(spark: SparkSession, d: str) -> DataFrame:
+    return select.compact_list(models(spark, d))
+
+
+#: Changed files: those of every seventh node, as they would come from version control.
+_CHANGED = """SELECT concat('repo/', original_file_path) AS path, CASE pos % 3 WHEN 0 THEN 'committed' WHEN 1 THEN 'uncommitted' ELSE 'untracked' END AS origin FROM {n} WHERE pos % 7 = 0
+  UNION ALL SELECT concat('repo/', original_file_path), 'committed' FROM {n} WHERE pos % 14 = 0"""
+_CHANGED_SQL = "ch AS (" + _CHANGED.replace("{n}", "n") + ")"
+
+
+def _changed_files(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_CHANGED, n=nodes(spark, d))
+
+
+@Q("changed_files", f"WITH {NODES_SQL}, {_CHANGED_SQL} SELECT path, arg_max(origin, CASE origin WHEN 'untracked' THEN 3 WHEN 'uncommitted' THEN 2 ELSE 1 END) AS origin FROM ch WHERE path IS NOT NULL GROUP BY 1")
+def changed_files(spark: SparkSession, d: str) -> DataFrame:
+    return select.united_changes(_changed_files(spark, d))
+
+
+@Q("modified_models", f"""WITH {MODELS_SQL}, {_CHANGED_SQL} SELECT unique_id, arg_max(origin, CASE origin WHEN 'untracked' THEN 3 WHEN 'uncommitted' THEN 2 ELSE 1 END) AS origin FROM m JOIN ch ON ends_with(ch.path, m.original_file_path) WHERE original_file_path <> '' GROUP BY 1""")
+def modified_models(spark: SparkSession, d: str) -> DataFrame:
+    return select.modified(models(spark, d), _changed_files(spark, d))
+
+
+@Q("list_with_status", f"""WITH {MODELS_SQL}, {_CHANGED_SQL}, o AS (SELECT unique_id, arg_max(origin, CASE origin WHEN 'untracked' THEN 3 WHEN 'uncommitted' THEN 2 ELSE 1 END) AS origin FROM m JOIN ch ON ends_with(ch.path, m.original_file_path) WHERE original_file_path <> '' GROUP BY 1)
+  SELECT {SHORT} AS model, original_file_path AS path, CAST(json_extract_string(config, '$.meta.tier') AS BIGINT) AS tier, origin AS git_status FROM m LEFT JOIN o USING (unique_id)""")
+def list_with_status(spark: SparkSession, d: str) -> DataFrame:
+    """Models with meta and git status; of the meta object the tier is compared."""
+    rows = select.list_with_status(models(spark, d), _changed_files(spark, d))
+    return rows.select("model", "path", F.get_json_object("meta", "$.tier").cast("bigint").alias("tier"), "git_status")
+
+
+@Q("file_matches", f"""WITH {MODELS_SQL}, {_CHANGED_SQL}, w AS (SELECT DISTINCT name, name AS f FROM m UNION SELECT name, regexp_extract(name, '((?:[^_]|_[^_])*_?)$', 1) FROM m WHERE NOT contains(name, '__') UNION SELECT name, list_extract(string_split(name, '__'), -1) FROM m)
+  SELECT DISTINCT w.name, ch.path FROM w JOIN ch ON regexp_extract(ch.path, '([^/]*)[.]sql$', 1) = w.f WHERE ends_with(ch.path, '.sql')""")
+def file_matches(spark: SparkSession, d: str) -> DataFrame:
+    return select.file_matches(models(spark, d), _changed_files(spark, d))
+
+
+@Q("live_config", f"""WITH {MODELS_SQL} SELECT name, CASE WHEN pos % 3 = 0 THEN 'view' ELSE 'table' END AS materialized, CASE WHEN pos % 2 = 0 THEN schema END AS partition_by, 19 AS n_keys FROM m""")
+def live_config(spark: SparkSession, d: str) -> DataFrame:
+    """Configs as the warehouse knows them: kind, partition and clustering, and 19 settings in all."""
+    facts = models(spark, d).select("name", F.expr("if(pos % 3 = 0, 'VIEW', 'TABLE')").alias("table_type"), F.expr("if(pos % 2 = 0, schema, NULL)").alias("partition_field"), F.array().cast("array<string>").alias("cluster_fields"))
+    made = select.live_config(facts)
+    return made.select("name", F.get_json_object("config", "$.materialized").alias("materialized"), F.get_json_object("config", "$.partition_by").alias("partition_by"), F.size(F.json_object_keys("config")).alias("n_keys"))
+
+
+@Q("get_model", f"WITH {MODELS_SQL} SELECT {SHORT} AS model, arg_min(unique_id, (pos, unique_id)) AS unique_id FROM m GROUP BY 1")
+def get_model(spark: SparkSession, d: str) -> DataFrame:
+    """The model that each short name stands for: the first in manifest order."""
+    return select.first_models(models(spark, d))
+
+
+@Q("catalog_columns", f"""WITH {MODELS_SQL}, k AS (SELECT unique_id, unnest(map_entries(columns)) AS c FROM m) SELECT unique_id, c.key AS "column", coalesce(CASE upper(c.value.data_type) {_TYPE_CASES} END, lower(nullif(c.value.data_type, '')), 'unknown') AS type, 999 AS index FROM k""")
+def catalog_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns as a catalog lists them, with display types; without an index they come last."""
+    cols = models(spark, d).select("unique_id", F.posexplode("columns").alias("pos", "column", "c")).select("unique_id", "column", F.col("c.data_type").alias("type"), F.lit(None).cast("int").alias("index"), "pos")
+    return select.catalog_columns(cols).drop("pos")
+
+
+@Q("stale_nodes", f"WITH {NODES_SQL} SELECT unique_id, epoch(TIMESTAMP '{AS_OF} 00:00:00') - epoch(loaded_at) > 72 * 3600 AS is_stale FROM n")
+def stale_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a node was delivered more than 72 hours ago."""
+    return nodes(spark, d).select("unique_id", select.is_stale(F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(AS_OF).cast("timestamp"), 72).alias("is_stale"))
+
+
+@Q("missing_models", f"WITH {MODELS_SQL} SELECT DISTINCT name FROM manifest_nodes WHERE unique_id LIKE 'model.%' AND name NOT IN (SELECT name FROM m WHERE name IS NOT NULL) AND name IS NOT NULL")
+def missing_models(spark: SparkSession, d: str) -> DataFrame:
+    """Names of former models that the newest snapshot lacks."""
+    former = table(spark, d, "manifest_nodes").where(F.col("unique_id").startswith("model.") & F.col("name").isNotNull())
+    return advisors.missing_models(former, models(spark, d))
+
+
 # -- monitoring ---------------------------------------------------------------
 
 @Q("usage_stats", f"WITH {REFS_SQL} SELECT dataset_id, table_id, count(*) AS n_records, CAST(sum(reference_count) AS BIGINT) AS n_references FROM r WHERE day >= DATE '{AS_OF}' - 30 GROUP BY ALL")
@@ -183,9 +256,10 @@ def partition_stats(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.partition_stats(by, "_1")
 
 
-@Q("partition_details", f"WITH {PARTS_SQL} SELECT partition_id, total_rows, round(total_logical_bytes / 1024.0 / 1024 / 1024, 4) AS total_gb FROM q WHERE table_id = 't_3' ORDER BY partition_id DESC LIMIT 100")
+@Q("partition_details", f"WITH {PARTS_SQL} SELECT dataset_id, table_id, partition_id, total_rows, round(total_logical_bytes / 1024.0 / 1024 / 1024, 4) AS total_gb FROM q QUALIFY row_number() OVER (PARTITION BY dataset_id, table_id ORDER BY partition_id DESC) <= 100")
 def partition_details(spark: SparkSession, d: str) -> DataFrame:
-    return monitoring.partition_details(_partitions(spark, d), "ds_3", "t_3")
+    """The latest 100 partitions of every table."""
+    return monitoring.latest_partitions(_partitions(spark, d))
 
 
 @Q("partition_info", f"WITH {PARTS_SQL} SELECT dataset_id, table_id, 'MONTH' AS partition_type, count(*) AS partition_count, round(CAST(sum(total_logical_bytes) AS BIGINT) / 1024.0 / 1024 / 1024, 2) AS total_gb FROM q GROUP BY 1, 2")
@@ -356,6 +430,19 @@ def format_bytes(spark: SparkSession, d: str) -> DataFrame:
     return storage(spark, d).select("table_id", resolve.format_bytes(F.col("total_logical_bytes")).alias("size"))
 
 
+@Q("readable_bytes", f"""WITH {STORAGE_SQL}, b AS (SELECT table_id, total_logical_bytes * x AS n FROM s, (SELECT unnest([0, 1, 1000]) AS x)) SELECT table_id, CAST(n AS BIGINT) AS n, CASE WHEN n < 1024 THEN printf('%d B', CAST(n AS BIGINT)) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0)
+  WHEN n < 1099511627776 THEN printf('%.2f GB', n / 1073741824.0) ELSE printf('%.2f TB', n / 1099511627776.0) END AS size FROM b""")
+def readable_bytes(spark: SparkSession, d: str) -> DataFrame:
+    rows = storage(spark, d).select("table_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(1000))).alias("x"), "total_logical_bytes").select("table_id", (F.col("x") * F.col("total_logical_bytes")).alias("n"))
+    return rows.select("table_id", "n", resolve.readable_bytes(F.col("n")).alias("size"))
+
+
+@Q("fallback_warnings", f"""WITH {NODES_SQL}, q AS (SELECT DISTINCT name FROM manifest_nodes UNION SELECT DISTINCT name FROM manifest_sources), r AS (SELECT name, CASE WHEN name IN (SELECT name FROM n) THEN 'prod' WHEN name IN (SELECT name FROM manifest_nodes) THEN 'dev' ELSE 'live' END AS level FROM q)
+  SELECT name, CASE WHEN level = 'dev' THEN 'using_dev_manifest' WHEN contains(name, '__') THEN 'using_live_table' ELSE 'model_not_found' END AS type, CASE WHEN level = 'live' AND NOT contains(name, '__') THEN 'error' ELSE 'warning' END AS severity FROM r WHERE level <> 'prod'""")
+def fallback_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.fallback_warnings(fallback_resolution(spark, d))
+
+
 @Q("fallback_resolution", f"""WITH {NODES_SQL}, q AS (SELECT DISTINCT name FROM manifest_nodes UNION SELECT DISTINCT name FROM manifest_sources), a AS (SELECT name, min(unique_id) AS u FROM n GROUP BY 1),
   b AS (SELECT name, min(unique_id) AS u FROM manifest_nodes GROUP BY 1), s AS (SELECT name, min(unique_id) AS u FROM manifest_sources GROUP BY 1)
   SELECT q.name, CASE WHEN a.u IS NOT NULL THEN 'prod' WHEN b.u IS NOT NULL THEN 'dev' WHEN s.u IS NOT NULL THEN 'live' END AS level, coalesce(a.u, b.u, s.u) AS unique_id,
@@ -431,6 +518,19 @@ def git_warnings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.explode(resolve.state_warnings()).alias("w")).groupBy(F.col("w.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_ASKED = "SELECT l_orderkey % 2 = 0 AS use_dev, l_partkey % 3 = 0 AS modified, l_partkey % 5 = 0 AS committed, l_suppkey % 3 <> 0 AS in_prod, l_suppkey % 4 <> 0 AS in_dev, l_linenumber <> 2 AS has_dev_manifest FROM {lineitem}"
+
+
+@Q("git_manifest_warnings", f"""WITH g AS ({_ASKED.replace('{lineitem}', 'lineitem')}), h AS (SELECT *, CASE WHEN use_dev AND NOT in_dev THEN 1 WHEN modified AND NOT in_prod AND NOT in_dev THEN 2 ELSE 0 END AS stop FROM g), w AS (
+  SELECT CASE WHEN modified OR committed THEN 'modified_not_compiled' ELSE 'dev_without_changes' END AS type, 'warning' AS severity FROM h WHERE stop = 1 UNION ALL SELECT 'file_not_compiled', 'error' FROM h WHERE stop = 2
+  UNION ALL SELECT 'new_model_candidate', 'warning' FROM h WHERE stop = 0 AND NOT use_dev AND NOT in_prod AND in_dev AND modified UNION ALL SELECT 'dev_without_changes', 'warning' FROM h WHERE stop = 0 AND use_dev AND NOT modified AND NOT committed
+  UNION ALL SELECT 'dev_committed_not_merged', 'info' FROM h WHERE stop = 0 AND use_dev AND NOT modified AND committed UNION ALL SELECT 'git_mismatch', 'warning' FROM h WHERE stop = 0 AND NOT use_dev AND modified
+  UNION ALL SELECT 'git_committed', 'info' FROM h WHERE stop = 0 AND NOT use_dev AND NOT modified AND committed UNION ALL SELECT 'dev_manifest_missing', 'error' FROM h WHERE stop = 0 AND use_dev AND NOT has_dev_manifest) SELECT type, severity, count(*) AS n FROM w GROUP BY ALL""")
+def git_manifest_warnings(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(_ASKED, lineitem=table(spark, d, "lineitem")).select(F.explode(resolve.git_manifest_warnings()).alias("w"))
+    return rows.groupBy("w.type", "w.severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @Q("column_source_route", f"""WITH g AS ({_FLAGS.replace('{lineitem}', 'lineitem')}), s AS (SELECT {_STATE_SQL} AS state, in_prod, l_linenumber * 6 AS age FROM g)
   SELECT CASE WHEN NOT starts_with(state, 'new_') AND NOT starts_with(state, 'modified_') AND in_prod AND age <= 24 THEN 'catalog' ELSE 'live' END AS route, count(*) AS n FROM s GROUP BY 1""")
 def column_source_route(spark: SparkSession, d: str) -> DataFrame:

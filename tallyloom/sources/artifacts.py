@@ -118,23 +118,82 @@ def scrubbed(rows: DataFrame, text: str) -> DataFrame:
     return rows.mapInPandas(run, rows.schema)
 
 
-def fetch_rows(keys: DataFrame, fetch: Callable[[dict], list[dict]], schema: str) -> DataFrame:
-    """Rows that ``fetch`` returns for each key; an error of one key gives none for it (remote layouts, live columns)."""
+def fetch_rows(keys: DataFrame, fetch: Callable[[dict], list[dict]], schema: str, attempts: int = 3, wait: float = 1.0) -> DataFrame:
+    """Rows that ``fetch`` returns for each row of ``keys``, with a last column ``error``.
+
+    For remote calls (live columns, table facts, layouts). A call that raises is made again,
+    ``attempts`` times in all, after ``wait`` seconds, then twice as many; ArtifactError is
+    final. A key whose calls all fail has one row with the key's columns of the schema, nulls
+    and the error's text, so no key is lost silently.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        import time
+
         import pandas as pd
 
         names = [part.split()[0] for part in schema.split(",")]
         for b in batches:
             rows: list[dict] = []
             for key in b.to_dict("records"):
-                try:
-                    rows += fetch(key)
-                except Exception:  # noqa: BLE001, S112 - one failing key must not end the job
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+                for attempt in range(1, attempts + 1):
+                    try:
+                        rows += [{**r, "error": None} for r in fetch(key)]
+                        break
+                    except Exception as e:  # noqa: BLE001 - any failure of a call is data
+                        if attempt == attempts or isinstance(e, ArtifactError):
+                            rows.append({**{k: v for k, v in key.items() if k in names}, "error": f"{type(e).__name__}: {e}"[:200]})
+                            break
+                        time.sleep(wait * 2 ** (attempt - 1))
+            yield pd.DataFrame(rows, columns=[*names, "error"])
+
+    return keys.mapInPandas(run, f"{schema}, error string")
+
+
+def polled(start: Callable[[], str], status: Callable[[str], str], result: Callable[[str], object], polls: int = 120, wait: float = 2.0) -> object:
+    """Result of a remote job: started, asked for until it has succeeded. A failed or endless job raises ArtifactError."""
+    import time
+
+    job = start()
+    for _ in range(polls):
+        state = status(job)
+        if state == "Succeeded":
+            return scrub_people(result(job))
+        if state == "Failed":
+            break
+        time.sleep(wait)
+    raise ArtifactError(f"job {job} did not succeed", "try again later")
+
+
+def decoded_layouts(definitions: DataFrame, parts: str = "parts") -> DataFrame:
+    """Adds ``layout``: the JSON text in the base64 payload of the first part whose path ends in report.json; null if there is none.
+
+    ``parts`` is an array of (path, payload).
+    """
+    part = F.try_element_at(F.filter(F.col(parts), lambda p: F.coalesce(p["path"], F.lit("")).endswith("report.json")), F.lit(1))
+    read = definitions.withColumn("_payload", part["payload"]).withColumn("_text", F.try_validate_utf8(F.expr("CAST(try_to_binary(_payload, 'base64') AS STRING)")))
+    return read.withColumn("layout", F.when(strict_variant("_text").isNotNull(), F.col("_text"))).drop("_payload", "_text")
+
+
+def write_scan(scan: dict, path: str) -> dict[str, int | str]:
+    """Writes a scan result without what identifies people; returns the numbers of workspaces, datasets, reports and tables."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(scrub_people(scan), f, indent=2, ensure_ascii=False)
+    spaces = scan.get("workspaces") or []
+    datasets = [d for w in spaces for d in w.get("datasets") or []]
+    return {
+        "workspaces": len(spaces), "datasets": len(datasets), "reports": sum(len(w.get("reports") or []) for w in spaces),
+        "tables": sum(len(d.get("tables") or []) for d in datasets), "output": path,
+    }
+
+
+WARNING_SCHEMA = "type string, severity string, message string, detail string, suggestion string"
+
 
-    return keys.mapInPandas(run, schema)
+def warnings_frame(spark: SparkSession, warnings: list[dict]) -> DataFrame:
+    """Warnings as rows; what a warning does not say is null."""
+    names = [part.split()[0] for part in WARNING_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(w.get(n) for n in names) for w in warnings], WARNING_SCHEMA)
 
 
 def read_compiled_sql(spark: SparkSession, root: str) -> DataFrame:
