@@ -119,10 +119,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_averages(sums: DataFrame, name: str) -> DataFrame:
+    """Totals, and averages rounded half away from zero at six decimals, from whole millionths."""
     out = [name, F.date_format("day", "yyyy-MM-dd").alias("day")]
     for n in (7, 30):
-        total = F.col(f"_sum_{n}").cast("decimal(30,6)")
-        out += [total.alias(f"total_{n}d"), F.round(total.cast("double") / n + 1e-9, 6).alias(f"average_{n}d")]
+        micro = F.round(F.col(f"_sum_{n}") * 1_000_000).cast("bigint")
+        average = F.signum(micro) * F.expr(f"(2 * abs(bigint(round(_sum_{n} * 1000000))) + {n}) div {2 * n}") / 1_000_000
+        out += [(micro / 1_000_000).alias(f"total_{n}d"), average.alias(f"average_{n}d")]
     return sums.select(*out)
 
 
@@ -242,18 +244,24 @@ _HOURS_SQL = """h AS (SELECT * FROM (SELECT CASE WHEN starts_with(dbt_model_name
    FROM cal LEFT JOIN g ON g.model = cal.model AND g.day = cal.day)"""
 _RECORDS_SQL = """v AS (SELECT * FROM (SELECT ref_id, day, CASE WHEN table_id IS NOT NULL THEN dataset_id || '.' || table_id END AS name, coalesce(try_cast(trim(reference_count) AS BIGINT), 0) AS n,
   row_number() OVER (PARTITION BY ref_id ORDER BY loaded_at DESC) AS i FROM table_reference_incremental) WHERE i = 1)"""
-_AVERAGES = "CAST({0}7 AS DOUBLE) AS total_7d, round(CAST({0}7 AS DOUBLE) / 7 + 1e-9, 6) AS average_7d, CAST({0}30 AS DOUBLE) AS total_30d, round(CAST({0}30 AS DOUBLE) / 30 + 1e-9, 6) AS average_30d"
+_AVERAGES = ", ".join(f"CAST({{0}}{n} * 1000000 AS BIGINT) / 1000000 AS total_{n}d, sign({{0}}{n}) * ((2 * abs(CAST({{0}}{n} * 1000000 AS BIGINT)) + {n}) // {2 * n}) / 1000000 AS average_{n}d" for n in (7, 30))
 _SQL_NOISE = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|--[^\n\r]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|\s+""".replace("'", "''")
 
-ORACLES = {
-    "p1_found": f"""WITH d AS (SELECT * FROM (SELECT snapshot_date, unique_id, regexp_replace(compiled_code, '{_SQL_NOISE}', '\\1', 'gs') AS code, config,
+_CHANGES_SQL = f"""d AS (SELECT * FROM (SELECT snapshot_date, unique_id, regexp_replace(compiled_code, '{_SQL_NOISE}', '\\1', 'gs') AS code, config,
     row_number() OVER (PARTITION BY snapshot_date, unique_id ORDER BY loaded_at DESC) AS i FROM manifest_nodes) WHERE i = 1),
   j AS (SELECT d.snapshot_date, d.unique_id, string_agg(t.fullkey || t.type || coalesce(t.atom->>'$', ''), chr(10) ORDER BY t.fullkey) AS conf FROM d, json_tree(d.config) t GROUP BY 1, 2),
   r AS (SELECT d.snapshot_date, d.unique_id, d.code, j.conf FROM d LEFT JOIN j USING (snapshot_date, unique_id)),
   s AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date FROM d)),
-  n AS (SELECT r.*, s.snapshot_date AS pair FROM r JOIN s ON r.snapshot_date = s.snapshot_date WHERE before IS NOT NULL), o AS (SELECT r.*, s.snapshot_date AS pair FROM r JOIN s ON r.snapshot_date = s.before)
-  SELECT CAST(coalesce(n.pair, o.pair) AS VARCHAR) AS snapshot_date, coalesce(n.unique_id, o.unique_id) AS unique_id, CASE WHEN o.unique_id IS NULL THEN 'added' WHEN n.unique_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
-  FROM n FULL JOIN o ON n.pair = o.pair AND n.unique_id = o.unique_id WHERE o.unique_id IS NULL OR n.unique_id IS NULL OR n.code IS DISTINCT FROM o.code OR n.conf IS DISTINCT FROM o.conf""",
+  n AS (SELECT r.*, s.snapshot_date AS pair FROM r JOIN s ON r.snapshot_date = s.snapshot_date WHERE before IS NOT NULL), o AS (SELECT r.*, s.snapshot_date AS pair FROM r JOIN s ON r.snapshot_date = s.before),
+  ch AS (SELECT CAST(coalesce(n.pair, o.pair) AS VARCHAR) AS snapshot_date, coalesce(n.unique_id, o.unique_id) AS unique_id, CASE WHEN o.unique_id IS NULL THEN 'added' WHEN n.unique_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind,
+    CASE WHEN o.unique_id IS NULL OR n.unique_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN n.code IS DISTINCT FROM o.code THEN 'compiled_code' END, CASE WHEN n.conf IS DISTINCT FROM o.conf THEN 'config' END) END AS changed_columns
+  FROM n FULL JOIN o ON n.pair = o.pair AND n.unique_id = o.unique_id WHERE o.unique_id IS NULL OR n.unique_id IS NULL OR n.code IS DISTINCT FROM o.code OR n.conf IS DISTINCT FROM o.conf)"""
+_REPORTS_SQL = """l AS (SELECT DISTINCT report_id, name, config, filters, sections FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY scanned_at DESC) AS i FROM bi_reports) WHERE i = 1)"""
+_JSON = "CASE WHEN json_valid({0}) AND NOT regexp_matches({0}, ',\\s*[}}\\]]') THEN CAST({0} AS JSON) END"
+
+ORACLES = {
+    "p1_found": f"WITH {_CHANGES_SQL} SELECT snapshot_date, unique_id, change_kind FROM ch",
+    "p1_summary": f"WITH {_CHANGES_SQL} SELECT snapshot_date, change_kind, changed_columns, count(*) AS n_nodes FROM ch GROUP BY ALL",
     "p2_found": f"{_LINKS_SQL} SELECT unique_id, root_id, depth FROM placed WHERE unique_id LIKE 'model.%'",
     "p2_paths": f"{_LINKS_SQL} SELECT p.*, coalesce(n, 0) AS n_descendants FROM placed p LEFT JOIN (SELECT a, count(*) AS n FROM anc GROUP BY 1) d ON d.a = p.unique_id WHERE unique_id LIKE 'model.%'",
     "p2_descendants": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT unique_id AS src, unnest(children) AS dst FROM child_map) WHERE dst IS NOT NULL),
@@ -282,4 +290,13 @@ ORACLES = {
   c AS (SELECT report_id, page_no, visual_no, CASE WHEN json_valid(c.config) AND NOT regexp_matches(c.config, ',\\s*[}\\]]') THEN CAST(c.config AS JSON) END AS j FROM v)
   SELECT report_id, report_id || '/sections:' || page_no || '/visualContainers:' || visual_no AS row_id, report_id || '/sections:' || page_no AS parent_id, 'page' AS parent_kind, CAST(page_no AS INT) AS page_no, CAST(visual_no AS INT) AS visual_no,
   json_extract_string(j, '$.name') AS visual_name, json_extract_string(j, '$.singleVisual.visualType') AS visual_type FROM c""",
+    "p5_filters": f"""WITH {_REPORTS_SQL}, pg AS (SELECT report_id, unnest(range(len(sections))) AS page_no, unnest(sections) AS s FROM l), vs AS (SELECT report_id, page_no, unnest(range(len(s.visualContainers))) AS visual_no, unnest(s.visualContainers) AS c FROM pg),
+  sc AS (SELECT report_id, report_id AS parent_id, 'report' AS parent_kind, NULL AS page_no, NULL AS visual_no, filters AS f FROM l UNION ALL SELECT report_id, report_id || '/sections:' || page_no, 'page', page_no, NULL, s.filters FROM pg
+   UNION ALL SELECT report_id, report_id || '/sections:' || page_no || '/visualContainers:' || visual_no, 'visual', page_no, visual_no, c.filters FROM vs),
+  j AS (SELECT *, {_JSON.format('f')} AS j FROM sc), e AS (SELECT j.*, k.key AS filter_no, k.value AS x FROM j, json_each(j.j) k WHERE json_type(j.j) = 'ARRAY')
+  SELECT report_id, parent_id || '/filters:' || filter_no AS row_id, parent_id, parent_kind, CAST(page_no AS INT) AS page_no, CAST(visual_no AS INT) AS visual_no, CAST(filter_no AS INT) AS filter_no, x->>'$.type' AS filter_type, x->>'$.name' AS filter_name FROM e""",
+    "p5_bookmarks": f"""WITH RECURSIVE {_REPORTS_SQL}, c AS (SELECT report_id, {_JSON.format('config')} AS j FROM l), b(report_id, row_id, parent_id, parent_kind, _level, x) AS (
+   SELECT report_id, report_id || '/bookmarks:' || k.key, report_id, 'report', 0, k.value FROM (SELECT report_id, j->'$.bookmarks' AS a FROM c) q, json_each(q.a) k WHERE json_type(q.a) = 'ARRAY'
+   UNION ALL SELECT b.report_id, b.row_id || '/children:' || k.key, b.row_id, 'bookmark', b._level + 1, k.value FROM b, json_each(b.x->'$.children') k WHERE json_type(b.x, '$.children') = 'ARRAY')
+  SELECT report_id, row_id, parent_id, parent_kind, _level, x->>'$.name' AS bookmark_name, x->>'$.displayName' AS bookmark_title FROM b""",
 }

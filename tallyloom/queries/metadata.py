@@ -283,7 +283,7 @@ def filter_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 # -- hotspots -----------------------------------------------------------------
 
-_FACTS_SQL = f"""WITH {MODELS_SQL}, {REFS_SQL}, {COSTS_SQL},
+FACTS_SQL = f"""WITH {MODELS_SQL}, {REFS_SQL}, {COSTS_SQL},
  f AS (SELECT dataset_id, table_id, sum(reference_count) AS n_queries, date_diff('day', max(CASE WHEN reference_count > 0 THEN day END), DATE '{AS_OF}') AS days_unused, count(*) * 0.02 AS total_gb FROM r WHERE table_id IS NOT NULL AND dataset_id IS NOT NULL GROUP BY 1, 2),
  k AS (SELECT CASE WHEN starts_with(dbt_model_name, 'lumen_dwh.') THEN substr(dbt_model_name, 11) ELSE dbt_model_name END AS model, sum(total_query_cost) AS cost, sum(total_slot_ms) AS slot_ms, sum(total_bytes_processed) AS bytes_processed FROM c WHERE dbt_model_name IS NOT NULL GROUP BY 1),
  v AS (SELECT schema AS dataset_id, coalesce(nullif(alias, ''), name) AS table_id, arg_max(unique_id, (pos, unique_id)) AS unique_id FROM m GROUP BY 1, 2),
@@ -325,22 +325,22 @@ def hotspot_facts(spark: SparkSession, d: str) -> DataFrame:
 _SCORES = ", ".join((*monitoring.CRITERIA, "score"))
 
 
-@Q("hotspots", _FACTS_SQL + f" SELECT dataset_id, table_id, total_gb, {_SCORES} FROM h WHERE score > 0")
+@Q("hotspots", FACTS_SQL + f" SELECT dataset_id, table_id, total_gb, {_SCORES} FROM h WHERE score > 0")
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.score_hotspots(hotspot_facts(spark, d)).where("score > 0").select("dataset_id", "table_id", "total_gb", *monitoring.CRITERIA, "score")
 
 
-@Q("hotspots_top", _FACTS_SQL + " SELECT dataset_id, table_id, total_gb, score FROM h WHERE score > 0 ORDER BY score DESC, total_gb DESC, dataset_id, table_id LIMIT 10")
+@Q("hotspots_top", FACTS_SQL + " SELECT dataset_id, table_id, total_gb, score FROM h WHERE score > 0 ORDER BY score DESC, total_gb DESC, dataset_id, table_id LIMIT 10")
 def hotspots_top(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.top_hotspots(monitoring.score_hotspots(hotspot_facts(spark, d))).select("dataset_id", "table_id", "total_gb", "score")
 
 
-@Q("hotspot_details", _FACTS_SQL + " SELECT dataset_id, table_id, criterion, points FROM (" + " UNION ALL ".join(f"SELECT dataset_id, table_id, '{c}' AS criterion, {c} AS points FROM h" for c in monitoring.CRITERIA) + ") WHERE points > 0")
+@Q("hotspot_details", FACTS_SQL + " SELECT dataset_id, table_id, criterion, points FROM (" + " UNION ALL ".join(f"SELECT dataset_id, table_id, '{c}' AS criterion, {c} AS points FROM h" for c in monitoring.CRITERIA) + ") WHERE points > 0")
 def hotspot_details(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.hotspot_details(monitoring.score_hotspots(hotspot_facts(spark, d))).select("dataset_id", "table_id", "criterion", "points")
 
 
-@Q("hotspot_summary", _FACTS_SQL + """ SELECT count(*) AS n_tables, count_if(score > 0)::BIGINT AS n_hot, CAST(round(sum(coalesce(cost, 0)), 2) AS DOUBLE) AS total_cost, CAST(round(sum(CASE WHEN score > 0 THEN coalesce(cost, 0) END), 2) AS DOUBLE) AS hot_cost,
+@Q("hotspot_summary", FACTS_SQL + """ SELECT count(*) AS n_tables, count_if(score > 0)::BIGINT AS n_hot, CAST(round(sum(coalesce(cost, 0)), 2) AS DOUBLE) AS total_cost, CAST(round(sum(CASE WHEN score > 0 THEN coalesce(cost, 0) END), 2) AS DOUBLE) AS hot_cost,
   round(sum(coalesce(slot_ms, 0)) / 3.6e6, 1) AS slot_hours, round(sum(CASE WHEN score > 0 THEN coalesce(slot_ms, 0) END) / 3.6e6, 1) AS hot_slot_hours FROM h""")
 def hotspot_summary(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.hotspot_summary(monitoring.score_hotspots(hotspot_facts(spark, d)))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tallyloom.operators import advisors, bi, graph, select
 from tallyloom.plans import usage as texts
 from tallyloom.queries.base import EDGES_SQL, FILTERS_SQL, MODELS_SQL, NODES_SQL, USES_SQL, Registry, models, nodes, table
+from tallyloom.queries import metadata
 from tallyloom.queries.general import ORACLES as GENERAL_SQL
 from tallyloom.queries.general import latest_rows, layouts
+from tallyloom.queries.metadata import FACTS_SQL
 
 R = Registry()
 Q = R.add
@@ -355,6 +357,28 @@ def cluster_matches(spark: SparkSession, d: str) -> DataFrame:
     return out.select("target", F.array_join("recommended", ",").alias("recommended"), F.array_join("current", ",").alias("current"), "matches")
 
 
+@Q("analyze_bundle", f"""{FACTS_SQL[: FACTS_SQL.index(',' + chr(10) + ' x AS (')]}, {_REVIEW_SQL[len(MODELS_SQL) + 2:]}, gf AS (SELECT root, unnest(l) AS col, model FROM cf), kf AS (SELECT root, col, count(DISTINCT model) AS n FROM gf GROUP BY 1, 2),
+  tf AS (SELECT root, list(col ORDER BY n DESC, col) AS l FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY n DESC, col) AS i FROM kf) WHERE i <= 5 GROUP BY 1),
+  ab AS (SELECT v.unique_id AS model, t.dataset_id || '.' || t.table_id AS table_name, lay.mat AS materialized, lay.p AS partition_field, CASE WHEN lay.p IS NOT NULL THEN upper(coalesce(json_extract_string(m.config, '$.partition_by.granularity'), 'day')) END AS partition_type, lay.c, CAST(t.total_gb AS DOUBLE) AS total_gb, CAST(t.n_queries AS BIGINT) AS n_queries, coalesce(tf.l, []) AS l
+   FROM t JOIN v USING (dataset_id, table_id) JOIN m ON m.unique_id = v.unique_id JOIN lay ON lay.root = v.unique_id LEFT JOIN tf ON tf.root = v.unique_id)
+  SELECT model, table_name, materialized, partition_field, partition_type, array_to_string(c, ',') AS cluster_by, total_gb, n_queries, array_to_string(l, ',') AS downstream_filters,
+   CASE WHEN materialized = 'view' THEN '' ELSE concat_ws(',', CASE WHEN partition_field IS NULL AND total_gb > 10 THEN 'add_partition' END, CASE WHEN len(c) = 0 AND total_gb > 5 AND n_queries > 100 THEN 'add_clustering' END, CASE WHEN len(c) > 0 AND len(list_filter(l, lambda x: NOT list_contains(c, x))) > 0 THEN 'clustering_optimization' END) END AS recommendations FROM ab""")
+def analyze_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Layout, size, use, filters of children and advice for every model that is used."""
+    facts = metadata.hotspot_facts(spark, d).where("unique_id IS NOT NULL").select(F.col("unique_id").alias("model"), F.concat_ws(".", "dataset_id", "table_id").alias("table_name"), "total_gb", F.col("n_queries").cast("bigint").alias("n_queries"))
+    layout = _layouts(spark, d).select(F.col("root").alias("model"), "materialized", F.lower("root_partition").alias("partition_col"), F.transform("root_clusters", F.lower).alias("cluster_cols"))
+    kinds = models(spark, d).select(F.col("unique_id").alias("model"), F.upper(F.coalesce(select.config_value("partition_by.granularity"), F.lit("day"))).alias("_kind"))
+    top = advisors.common_filters(child_filters(spark, d), 5, 1).groupBy(F.col("root").alias("model")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "column"))), lambda x: x["column"]).alias("filters"))
+    rows = facts.join(layout, "model").join(kinds, "model").join(top, "model", "left").withColumn("filters", F.coalesce("filters", F.array().cast("array<string>")))
+    rows = rows.select("*", *[F.lit(None).cast("double").alias(c) for c in ("expiration_days", "partition_count", "potential_savings")], F.lit(None).cast("string").alias("live_partition_col"))
+    rules = advisors.analyze_rules(rows).groupBy("model").agg(F.collect_set("rule").alias("_rules"))
+    order = F.array(*[F.lit(r) for r in ("add_partition", "add_clustering", "partition_expiration", "config_mismatch", "clustering_optimization", "billing_model")])
+    return rows.join(rules, "model", "left").select(
+        "model", "table_name", "materialized", F.col("partition_col").alias("partition_field"), F.when(F.col("partition_col").isNotNull(), F.col("_kind")).alias("partition_type"), F.array_join("cluster_cols", ",").alias("cluster_by"), "total_gb", "n_queries",
+        F.array_join("filters", ",").alias("downstream_filters"), F.array_join(F.array_intersect(order, F.coalesce("_rules", F.array().cast("array<string>"))), ",").alias("recommendations"),
+    )
+
+
 # -- BI -----------------------------------------------------------------------
 
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY scanned_at DESC) AS i FROM bi_reports) WHERE i = 1"
