@@ -247,7 +247,7 @@ _RECORDS_SQL = """v AS (SELECT * FROM (SELECT ref_id, day, CASE WHEN table_id IS
 _AVERAGES = ", ".join(f"CAST({{0}}{n} * 1000000 AS BIGINT) / 1000000 AS total_{n}d, sign({{0}}{n}) * ((2 * abs(CAST({{0}}{n} * 1000000 AS BIGINT)) + {n}) // {2 * n}) / 1000000 AS average_{n}d" for n in (7, 30))
 _SQL_NOISE = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|--[^\n\r]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|\s+""".replace("'", "''")
 
-_CHANGES_SQL = f"""d AS (SELECT * FROM (SELECT snapshot_date, unique_id, regexp_replace(compiled_code, '{_SQL_NOISE}', '\\1', 'gs') AS code, config,
+CHANGES_SQL = f"""d AS (SELECT * FROM (SELECT snapshot_date, unique_id, regexp_replace(compiled_code, '{_SQL_NOISE}', '\\1', 'gs') AS code, config,
     row_number() OVER (PARTITION BY snapshot_date, unique_id ORDER BY loaded_at DESC) AS i FROM manifest_nodes) WHERE i = 1),
   j AS (SELECT d.snapshot_date, d.unique_id, string_agg(t.fullkey || t.type || coalesce(t.atom->>'$', ''), chr(10) ORDER BY t.fullkey) AS conf FROM d, json_tree(d.config) t GROUP BY 1, 2),
   r AS (SELECT d.snapshot_date, d.unique_id, d.code, j.conf FROM d LEFT JOIN j USING (snapshot_date, unique_id)),
@@ -260,8 +260,8 @@ _REPORTS_SQL = """l AS (SELECT DISTINCT report_id, name, config, filters, sectio
 _JSON = "CASE WHEN json_valid({0}) AND NOT regexp_matches({0}, ',\\s*[}}\\]]') THEN CAST({0} AS JSON) END"
 
 ORACLES = {
-    "p1_found": f"WITH {_CHANGES_SQL} SELECT snapshot_date, unique_id, change_kind FROM ch",
-    "p1_summary": f"WITH {_CHANGES_SQL} SELECT snapshot_date, change_kind, changed_columns, count(*) AS n_nodes FROM ch GROUP BY ALL",
+    "p1_found": f"WITH {CHANGES_SQL} SELECT snapshot_date, unique_id, change_kind FROM ch",
+    "p1_summary": f"WITH {CHANGES_SQL} SELECT snapshot_date, change_kind, changed_columns, count(*) AS n_nodes FROM ch GROUP BY ALL",
     "p2_found": f"{_LINKS_SQL} SELECT unique_id, root_id, depth FROM placed WHERE unique_id LIKE 'model.%'",
     "p2_paths": f"{_LINKS_SQL} SELECT p.*, coalesce(n, 0) AS n_descendants FROM placed p LEFT JOIN (SELECT a, count(*) AS n FROM anc GROUP BY 1) d ON d.a = p.unique_id WHERE unique_id LIKE 'model.%'",
     "p2_descendants": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT unique_id AS src, unnest(children) AS dst FROM child_map) WHERE dst IS NOT NULL),

@@ -9,6 +9,7 @@ from tallyloom.operators import advisors, bi, graph, select
 from tallyloom.plans import usage as texts
 from tallyloom.queries.base import EDGES_SQL, FILTERS_SQL, MODELS_SQL, NODES_SQL, USES_SQL, Registry, models, nodes, table
 from tallyloom.queries import metadata
+from tallyloom.queries.general import CHANGES_SQL
 from tallyloom.queries.general import ORACLES as GENERAL_SQL
 from tallyloom.queries.general import latest_rows, layouts
 from tallyloom.queries.metadata import FACTS_SQL
@@ -247,7 +248,23 @@ def _plan(spark: SparkSession, d: str, changed: DataFrame) -> DataFrame:
     return advisors.refresh_plan(below, affected, changed, facts)
 
 
-@Q("refresh_plan")
+def _plan_sql(changed: str) -> str:
+    return f"""WITH RECURSIVE {USES_SQL}, ro AS (SELECT unique_id AS model, ft AS parent FROM sp WHERE ft <> '' UNION SELECT unique_id, jt FROM sp WHERE jt <> ''),
+  dep AS (SELECT parent, model FROM (SELECT unnest(depends_on.nodes) AS parent, unique_id AS model FROM m) WHERE parent IS NOT NULL UNION SELECT parent, model FROM ro), ns AS (SELECT unique_id AS model FROM m WHERE trim(coalesce(compiled_code, '')) = ''),
+  chg AS ({changed}), st AS (SELECT dep.parent, NULL AS need, dep.model, '*' AS got FROM dep JOIN ns USING (model) UNION SELECT parent, '*', model, '*' FROM ro UNION SELECT target, "column", downstream_model, "column" FROM us),
+  aff(model, col) AS (SELECT model, col FROM chg UNION SELECT st.model, st.got FROM aff JOIN st ON st.parent = aff.model AND (st.need IS NULL OR st.need = aff.col)),
+  blw(model) AS (SELECT dep.model FROM chg JOIN dep ON dep.parent = chg.model UNION SELECT dep.model FROM blw JOIN dep ON dep.parent = blw.model),
+  ac AS (SELECT model, list(DISTINCT col) AS cols FROM aff GROUP BY 1), cv AS (SELECT unique_id AS model, json_extract_string(config, '$.materialized') AS mat, json_extract(config, '$.unique_key') AS k, json_extract(config, '$.partition_by') AS p, trim(coalesce(compiled_code, '')) <> '' AS has_sql FROM m),
+  ft AS (SELECT model, mat, has_sql, CASE json_type(k) WHEN 'VARCHAR' THEN [k->>'$'] WHEN 'ARRAY' THEN from_json(k, '["VARCHAR"]') ELSE [] END AS keys, CASE json_type(p) WHEN 'VARCHAR' THEN [p->>'$'] WHEN 'ARRAY' THEN from_json(p, '["VARCHAR"]') WHEN 'OBJECT' THEN [coalesce(p->>'$.field', p->>'$.column')] ELSE [] END AS parts FROM cv),
+  al AS (SELECT model FROM blw WHERE model LIKE 'model.%' UNION SELECT model FROM chg), rs AS (SELECT al.model, CASE WHEN al.model IN (SELECT model FROM chg) THEN 'changed model itself' WHEN cols IS NULL THEN 'not affected' WHEN NOT coalesce(has_sql, false) THEN 'no SQL' WHEN list_contains(cols, '*') THEN 'whole row affected'
+   WHEN coalesce(mat, '') NOT IN ('incremental', 'materialized_view') THEN 'not incremental' WHEN len(list_intersect(keys, cols)) > 0 THEN 'unique key affected' WHEN len(list_intersect(parts, cols)) > 0 THEN 'partition column affected' ELSE 'safe' END AS reason FROM al LEFT JOIN ac USING (model) LEFT JOIN ft USING (model)),
+  pl AS (SELECT model, CASE reason WHEN 'not affected' THEN 'skip' WHEN 'safe' THEN 'incremental' ELSE 'full' END AS bucket, reason FROM rs)"""
+
+
+_PLAN_SQL = _plan_sql(f"SELECT unique_id AS model, '*' AS col FROM (WITH {CHANGES_SQL} SELECT * FROM ch WHERE change_kind = 'changed' AND snapshot_date = (SELECT CAST(max(snapshot_date) AS VARCHAR) FROM manifest_nodes))")
+
+
+@Q("refresh_plan", f"{_PLAN_SQL} SELECT * FROM pl")
 def refresh_plan(spark: SparkSession, d: str) -> DataFrame:
     """What to rebuild after the changes between the two newest snapshots."""
     return _plan(spark, d, _changes(spark, d))
@@ -257,15 +274,16 @@ def refresh_plan(spark: SparkSession, d: str) -> DataFrame:
 CHANGED_COLUMNS = ("status", "event_date", "id")
 
 
-@Q("refresh_plan_columns")
+@Q("refresh_plan_columns", _plan_sql("SELECT parent AS model, unnest(['status', 'event_date', 'id']) AS col FROM (SELECT DISTINCT parent FROM ro)") + " SELECT * FROM pl WHERE model LIKE 'model.%'")
 def refresh_plan_columns(spark: SparkSession, d: str) -> DataFrame:
     """What to rebuild when some columns of the tables outside the project change."""
     outside = references(spark, d).where("node IS NULL").select(F.col("target").alias("model")).distinct()
-    changed = advisors.narrowed(outside.select("model", F.lit("*").alias("column")).where("false"), {}).unionByName(outside.select("model", F.explode(F.array(*[F.lit(c) for c in CHANGED_COLUMNS])).alias("column")))
+    changed = outside.select("model", F.explode(F.array(*[F.lit(c) for c in CHANGED_COLUMNS])).alias("column"))
     return _plan(spark, d, changed).where(F.col("model").startswith("model."))
 
 
-@Q("refresh_summary")
+@Q("refresh_summary", f"""{_PLAN_SQL}, g AS (SELECT bucket, count(*) AS n_models, string_agg(model, ' ' ORDER BY model) AS models FROM pl GROUP BY 1)
+  SELECT *, CASE bucket WHEN 'full' THEN 'dbt run --full-refresh --select ' || models WHEN 'incremental' THEN 'dbt run --select ' || models END AS command FROM g""")
 def refresh_summary(spark: SparkSession, d: str) -> DataFrame:
     """Models of each bucket of refresh_plan, and the command that builds them."""
     plan = refresh_plan(spark, d)
