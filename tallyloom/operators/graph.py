@@ -174,16 +174,16 @@ def resolve_tables(tables: DataFrame, keys: DataFrame) -> DataFrame:
     return tables.join(met, "table_name", "left")
 
 
-def column_lineage(symbolic: DataFrame, nodes: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def column_lineage(symbolic: DataFrame, nodes: DataFrame, columns: DataFrame, outside: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lineage nodes, lineage edges) of all models from their symbolic lineage.
 
     ``symbolic``: see plans.usage.extract_lineage; ``nodes``: see table_keys, plus
     short_name; ``columns`` (id, column, data_type) from the catalog, used to expand
-    stars. A table that resolves to no node goes by its own name (its bare stars can't be
-    expanded); columns a star leaves out give no edge.
+    stars. Tables that resolve to no node and columns a star leaves out give no edge; with
+    ``outside`` such a table goes by its own name (its bare stars can't be expanded).
     """
     named = resolve_tables(symbolic.where("table_name IS NOT NULL"), table_keys(nodes)).join(nodes.select(F.col("id").alias("node"), "short_name"), "node", "left")
-    rows = named.withColumn("up", F.coalesce("short_name", "table_name"))
+    rows = named.withColumn("up", F.coalesce("short_name", "table_name")) if outside else named.where("node IS NOT NULL").withColumnRenamed("short_name", "up")
     down = nodes.select(F.col("id").alias("model"), F.col("short_name").alias("down"))
     plain = rows.where("output <> '*'").select("model", "up", "column", "output", "transform")
     left_out = rows.where("transform = 'except'").select("model", "node", "column").distinct()

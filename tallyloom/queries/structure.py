@@ -181,7 +181,7 @@ def partition_advice_models(spark: SparkSession, d: str) -> DataFrame:
 
 def lineage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     symbolic = texts.extract_lineage(models(spark, d), "unique_id", "compiled_code")
-    return graph.column_lineage(symbolic, _named(spark, d), _columns(spark, d))
+    return graph.column_lineage(symbolic, _named(spark, d), _columns(spark, d), outside=True)
 
 
 _OUTPUTS_SQL = f"""{USES_SQL}, oi AS (SELECT unique_id, ft, unnest(regexp_extract_all(sel, 't\\.\\w+(?:\\s+as\\s+\\w+)?')) AS item FROM sp WHERE ft <> ''),

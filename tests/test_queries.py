@@ -14,6 +14,8 @@ import __spark_entry__ as entry
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 #: Compared with plain Python in their own tests.
 ELSEWHERE = {f"p{n}_found" for n in range(1, 9)} | {q for q in QUERIES if q.startswith(("p6_", "p7_", "p8_"))}
+#: Too few models at the smallest size for two children that filter on one column.
+MAY_BE_EMPTY = {"common_filters", "branch_recommendations", "partition_advice_models"}
 
 
 @pytest.fixture(scope="session")
@@ -38,6 +40,7 @@ def test_query(spark, duck, small, name):
     df = QUERIES[name](spark, small)
     cols = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    assert rows or name in MAY_BE_EMPTY
     if name in SQL:
         want = duck.sql(SQL[name])
         assert sorted(want.columns) == cols
