@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import advisors, bi, graph, select
 from tallyloom.plans import usage as texts
-from tallyloom.queries.base import EDGES_SQL, FILTERS_SQL, MODELS_SQL, NODES_SQL, USES_SQL, Registry, models, nodes, table
+from tallyloom.queries.base import COSTS_SQL, EDGES_SQL, FILTERS_SQL, MODELS_SQL, NODES_SQL, USES_SQL, Registry, costs, models, nodes, table
 from tallyloom.queries import metadata
 from tallyloom.queries.general import CHANGES_SQL
 from tallyloom.queries.general import ORACLES as GENERAL_SQL
@@ -519,6 +519,49 @@ def metric_index(spark: SparkSession, d: str) -> DataFrame:
     return bi.metric_index(f.where("is_measure").select("dataset_id", "query", F.col("field_name").alias("metric")), f.where("table_name <> ''").select("dataset_id", "query", "table_name").distinct())
 
 
+#: Which models a report reads is in no table here: those whose id's digest starts alike.
+_READS_SQL = f"rt AS (SELECT r.report_id, m.unique_id, m.name AS model FROM (SELECT DISTINCT report_id FROM ({_LATEST})) r JOIN m ON left(md5(r.report_id), 2) = left(md5(m.unique_id), 2))"
+
+
+def report_models(spark: SparkSession, d: str) -> DataFrame:
+    first = lambda c: F.left(F.md5(c), F.lit(2))
+    reports = latest_reports(spark, d).select("report_id", first("report_id").alias("_k")).distinct()
+    return reports.join(models(spark, d).select("unique_id", F.col("name").alias("model"), first("unique_id").alias("_k")), "_k").drop("_k")
+
+
+@Q("report_costs", f"""WITH {MODELS_SQL}, {COSTS_SQL}, {_READS_SQL}, k AS (SELECT CASE WHEN starts_with(dbt_model_name, 'lumen_dwh.') THEN substr(dbt_model_name, 11) ELSE dbt_model_name END AS model, sum(total_query_cost) AS cost FROM c GROUP BY 1)
+  SELECT DISTINCT report_id, rt.model, CAST(coalesce(cost, 0) AS DOUBLE) AS query_cost FROM rt LEFT JOIN k USING (model) WHERE rt.model IS NOT NULL""")
+def report_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Cost of every model that a report reads."""
+    own = costs(spark, d).select("dbt_model_name", F.col("total_query_cost").alias("query_cost"))
+    return bi.report_costs(report_models(spark, d).where("model IS NOT NULL"), own, "lumen_dwh.").withColumn("query_cost", F.col("query_cost").cast("double"))
+
+
+@Q("report_counts", f"WITH {MODELS_SQL}, {_READS_SQL} SELECT unique_id AS model, count(DISTINCT report_id) AS n_reports FROM rt GROUP BY 1")
+def report_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Reports that read each model; bi.reports_for_model lists those of one."""
+    return report_models(spark, d).groupBy(F.col("unique_id").alias("model")).agg(F.count_distinct("report_id").alias("n_reports"))
+
+
+@Q("report_lineage", f"""WITH {_OUTPUTS_SQL}, {_READS_SQL}, li AS (SELECT src AS id FROM le UNION SELECT dst FROM le), cw AS (SELECT unique_id, unnest(regexp_extract_all(w, 't\\.(\\w+)', 1)) AS col, ft FROM sp WHERE w <> '' UNION SELECT unique_id, regexp_extract(t, 'on\\s+j\\.\\w+\\s*=\\s*t\\.(\\w+)', 1), ft FROM sp WHERE jt <> '')
+  SELECT DISTINCT report_id, ft || '.' || col AS node FROM rt JOIN cw USING (unique_id) WHERE ft || '.' || col IN (SELECT id FROM li)""")
+def report_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Lineage columns that a report's SQL, that of the models it reads, filters or joins on."""
+    used = usage_of_tables(spark, d).where("clause IN ('where', 'join')").select(F.col("downstream_model").alias("unique_id"), F.col("target").alias("table_name"), "column", "clause")
+    first = references(spark, d).where("in_from").select(F.col("model").alias("unique_id"), F.col("target").alias("table_name")).distinct()
+    own = used.join(first, ["unique_id", "table_name"]).groupBy("unique_id", "table_name").agg(F.collect_set("column").alias("cols"))
+    analyses = report_models(spark, d).join(own, "unique_id").select("report_id", F.array("table_name").alias("tables"), F.col("cols").alias("where_columns"), F.array().cast("array<string>").alias("join_columns"))
+    tables = analyses.select(F.explode("tables").alias("table_name")).distinct().withColumn("model", F.col("table_name"))
+    return bi.report_lineage(analyses, tables, lineage(spark, d)[0]).distinct()
+
+
+@Q("bi_show", f"WITH {_LATEST_SQL}, r AS (SELECT DISTINCT report_id, name FROM l) SELECT report_id, name AS report_name FROM r WHERE contains(lower(name), 'review') ORDER BY lower(name) <> 'review', report_id LIMIT 1")
+def bi_show(spark: SparkSession, d: str) -> DataFrame:
+    """The report named review, or else the first whose name contains it."""
+    rows = latest_reports(spark, d).select("report_id", F.col("name").alias("report_name"), F.col("report_id").alias("pos")).distinct()
+    return bi.show_report(rows, "Review").select("report_id", "report_name")
+
+
 #: Expressions of BI tables, written over every model: native SQL joined with another
 #: query, navigation to the model's table, inline rows, a measure.
 _EXPRESSION = """CASE pos % 4 WHEN 0 THEN concat('let Source = Value.NativeQuery(GoogleBigQuery.Database(), "select a#(lf)from ', schema, '.', name, ' where b = ""x"" ", null), j = Table.NestedJoin(Source, {"k"}, #"', name, ' v2", {"k"}, "o", JoinKind.LeftOuter) in j')
