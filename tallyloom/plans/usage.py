@@ -7,6 +7,7 @@ functions at the end apply it to a column of texts, all models in one pass.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -264,14 +265,19 @@ class _Scope:
         return {(self.table, name.lower()): None} if self.table else None
 
 
+class OverBudget(Exception):
+    """A text took longer than its budget."""
+
+
 class Lineage:
     """Output columns of a query with the physical columns they are made of.
 
     Columns of ``SELECT *`` over a physical table are the pair (``*``, table): the caller
-    expands them with the catalog.
+    expands them with the catalog. A ``budget`` in seconds ends texts that take longer.
     """
 
-    def __init__(self, query: Node) -> None:
+    def __init__(self, query: Node, budget: float = 0.0) -> None:
+        self._until = time.monotonic() + budget if budget > 0 else None
         self.outputs = self._query(query, {})
 
     def _query(self, q: Node, env: dict[str, tuple]) -> list[tuple[str, Sources, str]]:
@@ -352,6 +358,8 @@ class Lineage:
             self._outer = keep
 
     def _select(self, s: Node, env: dict) -> list[tuple[str, Sources, str]]:
+        if self._until is not None and time.monotonic() > self._until:
+            raise OverBudget
         scopes: list[_Scope] = []
         for t in tables_of(s):
             scopes.append(self._scope(t, env, scopes))
@@ -381,16 +389,18 @@ class Lineage:
         return out
 
 
-def lineage_rows(text: str | None) -> tuple[list[tuple[str, str, str, str]], str]:
+def lineage_rows(text: str | None, budget: float = 0.0) -> tuple[list[tuple[str, str, str, str]], str]:
     """((output, table, column, transform) rows, status) of one text.
 
     A star row has output ``*``; its further rows with transform ``except`` name columns
-    the star leaves out. Status: ok, no_sql (null or blank), unreadable.
+    the star leaves out. Status: ok, no_sql (null or blank), unreadable, timeout (over ``budget`` seconds, 0 for none).
     """
     if not text or not text.strip():
         return [], "no_sql"
     try:
-        outputs = Lineage(parse(text)).outputs
+        outputs = Lineage(parse(text), budget).outputs
+    except OverBudget:
+        return [], "timeout"
     except (SqlError, RecursionError):
         return [], "unreadable"
     rows = []
@@ -469,7 +479,29 @@ def extract_references(models: DataFrame, model: str, sql: str) -> DataFrame:
     return models.select(F.col(model).alias("m"), F.col(sql).alias("s")).mapInPandas(run, "model string, table_name string, bare_star boolean, in_from boolean")
 
 
-def extract_lineage(models: DataFrame, model: str, sql: str) -> DataFrame:
+def time_lineage(models: DataFrame, model: str, sql: str, budget: float = 30.0) -> DataFrame:
+    """(model, seconds, status): what extract_lineage takes for every text; order by seconds for the slowest."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for m, text in zip(b["m"], b["s"]):
+                start = time.monotonic()
+                status = lineage_rows(text, budget)[1]
+                rows.append((m, time.monotonic() - start, status))
+            yield pd.DataFrame(rows, columns=["model", "seconds", "status"])
+
+    return models.select(F.col(model).alias("m"), F.col(sql).alias("s")).mapInPandas(run, "model string, seconds double, status string")
+
+
+def slowest(timings: DataFrame, most: int = 5, least: float = 0.0) -> DataFrame:
+    """The ``most`` models that took longest, of those that took ``least`` seconds; ties by name."""
+    return timings.where(F.col("seconds") >= least).orderBy(F.desc("seconds"), "model").limit(most)
+
+
+def extract_lineage(models: DataFrame, model: str, sql: str, budget: float = 30.0) -> DataFrame:
     """(model, output, table_name, column, transform, status): symbolic lineage of every text."""
 
     def run(batches: Iterator) -> Iterator:
@@ -478,7 +510,7 @@ def extract_lineage(models: DataFrame, model: str, sql: str) -> DataFrame:
         for b in batches:
             rows = []
             for m, text in zip(b["m"], b["s"]):
-                found, status = lineage_rows(text)
+                found, status = lineage_rows(text, budget)
                 rows += [(m, *r, status) for r in found] or [(m, None, None, None, None, status)]
             yield pd.DataFrame(rows, columns=["model", "output", "table_name", "column", "transform", "status"])
 

@@ -215,6 +215,13 @@ def model_metrics(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.model_metrics(costs(spark, d), AS_OF)
 
 
+@Q("metrics_of_models", f"""WITH {MODELS_SQL}, {COSTS_SQL}, g AS (SELECT CASE WHEN starts_with(dbt_model_name, 'lumen_dwh.') THEN substr(dbt_model_name, 11) ELSE dbt_model_name END AS name, CAST(sum(failed_runs) AS BIGINT) AS failed_runs, CAST(sum(query_count) AS BIGINT) AS query_count FROM c WHERE CAST(hour AS DATE) >= DATE '{AS_OF}' - 7 GROUP BY 1)
+  SELECT unique_id, concat_ws('.', schema, coalesce(nullif(json_extract_string(config, '$.alias'), ''), name)) AS table_name, failed_runs, query_count FROM g JOIN m USING (name)""")
+def metrics_of_models(spark: SparkSession, d: str) -> DataFrame:
+    """Run metrics joined to the models they are named after; others are dropped."""
+    return monitoring.metrics_of_models(costs(spark, d), models(spark, d).withColumn("config_alias", select.config_value("alias")), AS_OF, "lumen_dwh.")
+
+
 _GB = "round({} / 1024.0 / 1024 / 1024, 2)"
 
 

@@ -80,6 +80,12 @@ def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"columns": cols, "stats": stats, "generated_at": doc.select(F.expr("try_variant_get(v, '$.metadata.generated_at', 'string')").alias("generated_at"))}
 
 
+def read_table(spark: SparkSession, path: str, kind: str = "parquet", max_rows: int | None = None) -> DataFrame:
+    """A monitoring table from files (parquet, json, csv with a header); ``max_rows`` only where a caller asks for it."""
+    rows = spark.read.option("header", "true").format(kind).load(path)
+    return rows if max_rows is None else rows.limit(max_rows)
+
+
 SCAN_SCHEMA = """workspaces array<struct<id string, name string,
   datasets array<struct<id string, name string, tables array<struct<name string, source array<struct<expression string>>,
     measures array<struct<name string, expression string, isHidden boolean>>>>>>,

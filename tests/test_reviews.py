@@ -157,3 +157,14 @@ def test_files_and_bytes(spark):
     assert got(select.file_matches(names, files)) == [("core__orders", "core__orders.sql"), ("core__orders", "m/orders.sql")]
     sizes = spark.createDataFrame([(0,), (1023,), (1024,), (5 * 1024**4,), (None,)], "n long")
     assert [r[0] for r in sizes.select(resolve.readable_bytes(F.col("n"))).collect()] == ["0 B", "1023 B", "1.00 KB", "5.00 TB", None]
+
+
+def test_lineage_budget_and_tables(spark, tmp_path):
+    text = "select a from t"
+    assert usage.lineage_rows(text, 1e-9)[1] == "timeout" and usage.lineage_rows(text, 30)[1] == usage.lineage_rows(text)[1] == "ok"
+    rows = spark.createDataFrame([("m", text), ("n", None), ("o", "((")], "m string, q string")
+    timed = usage.time_lineage(rows, "m", "q")
+    assert {r["model"]: r["status"] for r in timed.collect()} == {"m": "ok", "n": "no_sql", "o": "unreadable"}
+    assert usage.slowest(timed, 2).count() == 2 and usage.slowest(timed, 5, 100.0).count() == 0
+    rows.write.json(str(tmp_path / "t"))
+    assert artifacts.read_table(spark, str(tmp_path / "t"), "json").count() == 3 and artifacts.read_table(spark, str(tmp_path / "t"), "json", 2).count() == 2
