@@ -56,11 +56,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def observed(seen: Observation, written: DataFrame, asked: list[Column]) -> dict:
+    """What was counted while ``written`` was written; counted again if the report of it got lost on the way."""
+    for _ in range(100):
+        if seen._jo.getRowOrEmpty().isDefined():  # waits a tenth of a second
+            return seen.get
+    return written.agg(*asked).first().asDict()
+
+
 def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut`` and the number of rows, which is counted while they are written."""
-    seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, int(seen.get["n"])
+    seen, n = Observation(), F.count(F.lit(1)).alias("n")
+    out = cut(df.observe(seen, n))
+    return out, int(observed(seen, out, [n])["n"])
 
 
 @dataclass
@@ -107,8 +115,9 @@ class Rounds:
         for name, key in (("_hot", hot), ("_hot_too", hot_too)):
             if key:
                 asked[name] = F.expr(f"approx_top_k({key}, {HOT_SHARE}, {20 * HOT_SHARE})")
-        out = df.observe(seen, *[a.alias(k) for k, a in asked.items()]).checkpoint(eager=True)
-        got = seen.get
+        counted = [a.alias(k) for k, a in asked.items()]
+        out = df.observe(seen, *counted).checkpoint(eager=True)
+        got = observed(seen, out, counted)
         n = int(got["_n"])
         keys = [[r[0] for r in got.get(k) or [] if r[0] is not None and r[1] * HOT_SHARE > n] for k in ("_hot", "_hot_too")]
         return Kept(self._bound(out, self.spark), n, {k: int(got[k] or 0) for k in facts}, *keys)
