@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.words import words
-from tallyloom.session import HOT_SHARE, Kept, cut, ensure_checkpoint_dir
+from tallyloom.session import HOT_SHARE, Kept, cut, ensure_checkpoint_dir, observed
 
 #: Words of the item a passage must have, and words per tolerated edit.
 LEAST_WORDS, WORDS_PER_EDIT = 15, 10
@@ -91,7 +91,7 @@ def _kept(df: DataFrame, hot: str | None = None) -> Kept:
     ensure_checkpoint_dir(df.sparkSession)
     asked = [F.count(F.lit(1)).alias("n"), *([F.expr(f"approx_top_k({hot}, {HOT_SHARE}, {20 * HOT_SHARE})").alias("hot")] if hot else [])]
     out = df.observe(seen, *asked).checkpoint(eager=True)
-    got = seen.get
+    got = observed(seen, out, asked)
     return Kept(out, int(got["n"]), {}, [r[0] for r in got.get("hot") or [] if r[0] is not None and r[1] * HOT_SHARE > got["n"]])
 
 
