@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import Kept, Rounds, join_hot
+from tallyloom.session import Kept, Rounds, join_dealt, join_hot
 
 #: Walks and reach between joints are doubled while they have at most this many pairs for
 #: each link (and a few more); beyond it single rounds go on with the pairs at hand. The
@@ -172,8 +172,8 @@ def loop_status(r: Rounds, edges: Kept, parents: Kept, inner: Kept) -> Kept:
     cycle = top.df.where("open").select(F.col("at").alias("x")).distinct()
     # links into names with several parents, each from the top of the parent's climb
     several = parents.df.where("n > 1").join(inner.df, "x", "left_semi").select(F.col("x").alias("child"))
-    into = edges.df.join(several, "child", "left_semi")
-    joints = r.cut(into.join(top.df.select(F.col("x").alias("parent"), "at", "open"), "parent").select("parent", "child", F.col("at").alias("src"), F.col("child").alias("dst"), "open"), n_open=F.count_if("open"))
+    into = join_hot(edges.df, several, "child", edges.hot, "left_semi")
+    joints = r.cut(join_hot(into, top.df.select(F.col("x").alias("parent"), "at", "open"), "parent", edges.hot_too).select("parent", "child", F.col("at").alias("src"), F.col("child").alias("dst"), "open"), n_open=F.count_if("open"))
     # what hangs below a loop met on a climb is marked by a loop of its own
     graph = r.cut(joints.df.select(F.when(F.col("open"), F.col("dst")).otherwise(F.col("src")).alias("src"), "dst").distinct())
     bad = tainted = r.cut(endless(r, graph)) if graph.n else None
@@ -191,7 +191,7 @@ def loop_status(r: Rounds, edges: Kept, parents: Kept, inner: Kept) -> Kept:
     cycle = cycle.distinct()
     bad_top = (bad.df if bad else cycle.where("false")).select(F.col("x").alias("at"), F.lit(True).alias("_bad"))
     bad_inner = r.cut(top.df.join(bad_top, "at", "left").where("open OR _bad").select("x"))
-    below = edges.df.join(bad_inner.df.withColumnRenamed("x", "parent"), "parent", "left_semi").select(F.col("child").alias("x"))
+    below = join_hot(edges.df, bad_inner.df.withColumnRenamed("x", "parent"), "parent", edges.hot_too, "left_semi").select(F.col("child").alias("x"))
     return r.cut(
         below.union(bad_inner.df).distinct().join(cycle.select("x", F.lit("cycle").alias("status")), "x", "left")
         .select("x", F.coalesce("status", F.lit("below_cycle")).alias("status"))
@@ -210,7 +210,7 @@ class Hierarchy:
     def __init__(self, rows: DataFrame, parent: str, children: str) -> None:
         self.outer = rows.sparkSession
         self.r = r = Rounds(self.outer, 1)
-        self.kept_edges = edges = r.enter(links(rows, parent, children))
+        self.kept_edges = edges = r.enter(links(rows, parent, children), hot="child", hot_too="parent")
         keys = rows.where(F.col(parent).isNotNull()).select(F.col(parent).alias("x")).distinct()
         parents = r.cut(edges.df.groupBy(F.col("child").alias("x")).agg(F.min("parent").alias("up"), F.count(F.lit(1)).alias("n")))
         inner = r.cut(edges.df.select(F.col("parent").alias("x")).distinct())
@@ -343,7 +343,8 @@ class Hierarchy:
         r.sized(tree.n)
         beside = self.kept_edges.df.join(self.clear.df.where("up IS NOT NULL").select(F.col("up").alias("parent"), F.col("x").alias("child")), ["parent", "child"], "left_anti")
         # names on or below loops are in no tree, so they stand for themselves
-        hops = beside.join(tree.df.select("x", F.col("descendant").alias("parent")), "parent", "left").select(F.coalesce("x", "parent").alias("src"), F.col("child").alias("dst"))
+        above = tree.df.select("x", F.col("descendant").alias("parent"))
+        hops = join_dealt(beside, above, "parent", self.kept_edges.hot_too, "child", "left").select(F.coalesce("x", "parent").alias("src"), F.col("child").alias("dst"))
         pairs, before = r.cut(hops.distinct()), 0
         while pairs.n > before:
             before, pairs = pairs.n, r.cut(pairs.df.unionByName(_joined(pairs.df)).distinct())

@@ -122,9 +122,9 @@ class Rounds:
         keys = [[r[0] for r in got.get(k) or [] if r[0] is not None and r[1] * HOT_SHARE > n] for k in ("_hot", "_hot_too")]
         return Kept(self._bound(out, self.spark), n, {k: int(got[k] or 0) for k in facts}, *keys)
 
-    def enter(self, df: DataFrame, **facts: Column) -> Kept:
+    def enter(self, df: DataFrame, hot: str | None = None, hot_too: str | None = None, **facts: Column) -> Kept:
         """Cut of a frame of the caller's session, planned there."""
-        kept = self.cut(df, **facts)
+        kept = self.cut(df, hot, hot_too, **facts)
         self.sized(max(kept.n, 1))
         return kept
 
@@ -144,3 +144,17 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list[str], how: s
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     spread = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     return spread.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, hot: list[str], by: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """``left`` joined to ``right`` (any number of rows a key), of whose keys those in ``hot`` hold much of ``left``.
+
+    Their rows are dealt over ``salts`` parts by a hash of ``by``, and each part has its own
+    copy of the right rows.
+    """
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    dealt = left.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("int"))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_part", F.explode(parts)), [key, "_part"], how).drop("_part")

@@ -14,7 +14,7 @@ from tallyloom.operators.rolling import trailing_totals
 from tallyloom.operators.shredding import Edge, SchemaGraph, Shredder, latest_rows
 from tallyloom.operators.snapshots import leaf_bits_for, snapshot_changes
 from tallyloom.queries import general
-from tallyloom.session import Rounds, join_hot
+from tallyloom.session import Rounds, join_dealt, join_hot
 
 
 def got(df):
@@ -103,6 +103,22 @@ def test_deep_chain_and_wide_parent(spark):
     assert out["n000"]["size"] == 431 and len({r["first"] for r in made.intervals().collect()}) == 431
 
 
+def test_hubs(spark):
+    """A parent and a child that hold most links, second parents and a loop beside them."""
+    rows = [("hub", [f"x{i}" for i in range(600)], ""), *[(f"x{i}", ["sink"], "") for i in range(300)], ("top", ["hub"], ""), ("other", [f"x{i}" for i in range(300)], ""), ("sink", ["end"], ""), ("x7", ["ring"], ""), ("ring", ["ring", *[f"y{i}" for i in range(300)]], "")]
+    made = Hierarchy(tree(spark, rows), "p", "c")
+    assert "hub" in made.kept_edges.hot_too and "sink" in made.kept_edges.hot
+    status = dict(got(made.status))
+    assert status["ring"] == "cycle" and len(status) == 301
+    depths = {r[0]: (r[1], r[2]) for r in got(made.depths())}
+    assert depths["x5"] == ("top", 2) and depths["end"] == ("top", 4) and depths["other"] == ("other", 0)
+    links = h.tree_pairs(made.paths())
+    below = {}
+    for x, y in set(got(links.where("x <> descendant"))) | set(got(made.pairs(links))):
+        below.setdefault(x, set()).add(y)
+    assert len(below["hub"]) == 600 + 2 + 301 and len(below["other"]) == 300 + 2 + 301 and len(below["x7"]) == 2 + 301 and len(below["x9"]) == 2
+
+
 def ladder(levels):
     """Two names a level, each with both names of the next level as children."""
     return [(f"n{i:02}{s}", [f"n{i + 1:02}a", f"n{i + 1:02}b"], "") for i in range(levels - 1) for s in "ab"]
@@ -163,6 +179,9 @@ def test_join_hot(spark):
     kept = Rounds(spark, 20_000).cut(left, hot="k")
     assert kept.hot == ["7"] and kept.n == 20_000
     sums = lambda df: df.agg(F.count(F.lit(1)), F.sum("v")).first()
+    twice = right.union(right)
+    assert sums(join_dealt(left, twice, "k", ["7", "9"], "id")) == sums(left.join(twice, "k"))
+    assert sums(join_dealt(left, twice.where("k <> '9'"), "k", ["7", "9"], "id", "left")) == sums(left.join(twice.where("k <> '9'"), "k", "left"))
     assert sums(join_hot(kept.df, right, "k", kept.hot)) == sums(join_hot(left, right, "k", [])) == sums(left.join(right, "k"))
 
 
